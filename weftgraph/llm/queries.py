@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, chat, langid, mixing, packing, quality, secrets
+from . import audio, chat, langid, minhash, mixing, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op2_chat": chat.op2_chat,
     "op3_packing": packing.op3_packing,
+    "op4_near_duplicates": minhash.op4_near_duplicates,
     "op5_language": langid.op5_language,
     "op7_audio": audio.op7_audio,
     "op8_quality": quality.op8_quality,
