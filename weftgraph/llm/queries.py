@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, chat, langid, minhash, mixing, packing, quality, secrets
+from . import audio, chat, langid, minhash, mixing, packing, quality, secrets, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": packing.op3_packing,
     "op4_near_duplicates": minhash.op4_near_duplicates,
     "op5_language": langid.op5_language,
+    "op6_repeats": suffix.op6_repeats,
     "op7_audio": audio.op7_audio,
     "op8_quality": quality.op8_quality,
     "op10_secrets": secrets.op10_secrets,
