@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, chat, langid, minhash, mixing, packing, quality, secrets, suffix
+from . import audio, chat, html, langid, minhash, mixing, packing, quality, secrets, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_repeats": suffix.op6_repeats,
     "op7_audio": audio.op7_audio,
     "op8_quality": quality.op8_quality,
+    "op9_html": html.op9_html,
     "op10_secrets": secrets.op10_secrets,
 }
 
