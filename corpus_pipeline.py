@@ -1,10 +1,24 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes what the one before it kept: quality rules drop rows, near-duplicates leave one
+row of each group, secrets are masked in the texts, the mix drops and repeats rows and puts them in
+training order, and packing turns them into pieces of sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import mixing, packing, secrets
+from weftgraph.llm import minhash, mixing, packing, quality, secrets
+from weftgraph.llm.common import cut
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.one_of_each(docs, 5, 80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,13 +33,20 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-STAGES = [("secrets", secret_scan), ("mixing", source_mix), ("packing", pack_sequences)]
-#: Tokenisation is beyond SQL.
+STAGES = [
+    ("quality", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secret_scan),
+    ("mixing", source_mix),
+    ("packing", pack_sequences),
+]
+#: Trees and tokens are beyond SQL; the stages are held against brute force in the tests.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
