@@ -11,9 +11,11 @@ whose gram is unique rules out all its strings. Anchors with equal surroundings
 hang on them) repeat each other as a whole: all but the first go without looking at a single
 position. Only where one gram has different surroundings, at the ends of repeated passages, are
 positions ranked: by the hash of their first half; what is unique is dropped, and the others are
-ranked again by the pair of ranks at offset 0 and at half the length.
+ranked again by the pair of ranks at offset 0 and at half the length. The surroundings of one gram
+are sorted together for that and ranked in their task, many grams at once; those of a gram with
+more than ``HOT_ROWS`` rows are spread, a row for each position.
 
-Gram and surroundings are compared by two independent 64-bit hashes, pairs of halves likewise.
+Gram and surroundings are compared by two independent 64-bit hashes, halves by one each.
 
 Defined cases: a null text is empty; texts below ``LENGTH`` bytes lose nothing; a null ``doc_id``
 comes first; rows with one ``doc_id`` and different texts are documents in the order of a hash of
@@ -31,11 +33,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import table
 
-LENGTH, GRAM = 100, 20
+LENGTH, GRAM = 100, 24
 #: Bytes hashed together; the number of a position must fit into ``_BITS`` bits.
 CHUNK_BYTES, _BITS = 2_000_000, 40
+#: Anchors of one gram from which on its positions are ranked by Spark; surroundings ranked at once in a task.
+HOT_ROWS, ROWS_AT_ONCE = 200_000, 20_000
+HALF = LENGTH // 2
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _powers: list[np.ndarray] = []
 
@@ -140,28 +145,94 @@ def _runs(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, RUN_SCHEMA)
 
 
-def _positions(wanted: DataFrame) -> DataFrame:
-    """The starts of runs in ``runs`` of each text, with the hashes of their strings' halves."""
-    half = LENGTH // 2
+AROUND_SCHEMA = "key long, id long, version long, run long, bytes binary"
+
+
+def _surroundings(wanted: DataFrame) -> DataFrame:
+    """The bytes of each text's ``runs`` (key, hot, run): all strings that start in the run."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, versions, runs = b["id"].to_numpy(), b["version"].to_numpy(), list(b["runs"])
-            for start, data, bounds in _chunks(list(b["text"])):
-                h = Hashes(data)
-                n = [len(runs[start + i]) for i in range(len(bounds) - 1)]
-                own = np.repeat(np.arange(len(n)), n)
-                packed = np.concatenate([np.asarray(runs[start + i], np.int64) for i in range(len(n))])
-                lo, size = packed >> 12, (packed & 4095) + 1
-                text = np.repeat(own, size)
-                at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                p = at + bounds[text]
-                yield pd.DataFrame({
-                    "id": ids[start + text], "version": versions[start + text], "at": at,
-                    "rank": _mix(h.of(p, p + half), 0x8EBC6AF09C88C6E3).view(np.int64), "next": _mix(h.of(p + half, p + LENGTH), 0x589965CC75374CC3).view(np.int64),
-                })
-
-    return wanted.mapInPandas(run, "id long, version long, at long, rank long, next long")
+            rows = []
+            for i, version, text, runs in zip(b["id"], b["version"], b["text"], b["runs"]):
+                data = text.encode("utf-8", "surrogatepass")
+                for r in runs:
+                    lo, size = r["run"] >> 12, r["run"] & 4095
+                    rows.append((r["key"], i, version, r["run"], data[lo : lo + size + LENGTH]))
+            yield pd.DataFrame(rows, columns=["key", "id", "version", "run", "bytes"])
+
+    return wanted.mapInPandas(run, AROUND_SCHEMA)
+
+
+def _halves(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, rank of the first half, rank of the second) of all strings of surroundings."""
+    parts = list(b["bytes"])
+    h = Hashes(np.frombuffer(b"".join(parts), np.uint8))
+    begin = np.cumsum([0] + [len(p) for p in parts])[:-1]
+    packed = b["run"].to_numpy()
+    size = (packed & 4095) + 1
+    row = np.repeat(np.arange(len(b)), size)
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    p = begin[row] + step
+    return row, (packed >> 12)[row] + step, _mix(h.of(p, p + HALF), 0x8EBC6AF09C88C6E3), _mix(h.of(p + HALF, p + LENGTH), 0x589965CC75374CC3)
+
+
+def _repeats(b: pd.DataFrame) -> pd.DataFrame:
+    """Runs of the strings of ``b`` that an earlier row or start of the same gram has too; rows are in order within a gram."""
+    row, at, first, second = _halves(b)
+    key = b["key"].to_numpy().view(np.uint64)[row]
+    first = _mix(first + key, 0xC2B2AE3D27D4EB4F)
+    # By the first half: what is unique is done.
+    order = np.argsort(first, kind="stable")
+    ranks = first[order]
+    same = np.concatenate([[False], ranks[1:] == ranks[:-1]])
+    left = np.sort(order[same | np.concatenate([same[1:], [False]])])
+    # By the pair: all but the first of equal ones go.
+    order = left[np.lexsort((left, second[left], first[left]))]
+    again = np.concatenate([[False], (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])]) if len(order) else np.zeros(0, bool)
+    hit = np.sort(order[again])
+    if not len(hit):
+        return pd.DataFrame({"id": [], "version": [], "run": []}, dtype="int64")
+    new = np.concatenate([[True], (row[hit][1:] != row[hit][:-1]) | (at[hit][1:] != at[hit][:-1] + 1)])
+    start = np.flatnonzero(new)
+    stop = np.concatenate([start[1:], [len(hit)]]) - 1
+    rows = row[hit][start]
+    return pd.DataFrame({"id": b["id"].to_numpy()[rows], "version": b["version"].to_numpy()[rows], "run": _pack(at[hit][start], at[hit][stop])})
+
+
+def _repeats_in_tasks(around: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += len(b)
+            if size >= ROWS_AT_ONCE:
+                every = pd.concat(held, ignore_index=True)
+                keys = every["key"].to_numpy()
+                last = int(np.searchsorted(keys, keys[-1]))  # the last gram may go on
+                if last:
+                    yield _repeats(every.iloc[:last])
+                held, size = [every.iloc[last:]], len(every) - last
+        if size:
+            yield _repeats(pd.concat(held, ignore_index=True))
+
+    dealt = around.select("key", "id", "version", "run", "bytes").repartition("key").sortWithinPartitions("key", "id", "version", "run")
+    return dealt.mapInPandas(run, "id long, version long, run long")
+
+
+def _repeats_spread(around: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                row, at, first, second = _halves(b)
+                yield pd.DataFrame({"id": b["id"].to_numpy()[row], "version": b["version"].to_numpy()[row], "at": at, "rank": first.view(np.int64), "next": second.view(np.int64)})
+
+    at = around.select("id", "version", "run", "bytes").mapInPandas(run, "id long, version long, at long, rank long, next long")
+    # A hot rank is counted in parts before it meets; only first places travel on.
+    spot = F.struct("id", "version", "at")
+    once = at.groupBy("rank", "next").agg(F.min(spot).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("rank").alias("r"), F.col("next").alias("s"), "first")
+    return at.join(once, (F.col("rank") == F.col("r")) & (F.col("next") == F.col("s"))).where(spot != F.col("first")).select("id", "version", F.shiftleft("at", 12).alias("run"))
 
 
 OUT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -203,27 +274,16 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
         _runs(texts)
         .withColumn("low", F.min("around").over(by_key))
         .withColumn("high", F.max("around").over(by_key))
+        .withColumn("hot", F.count("*").over(by_key) > HOT_ROWS)
         .withColumn("first", F.min(place).over(by_class))
-        .withColumn("again", place != F.col("first"))
-        .where("again or low <> high")
-        .select("id", "version", "run", "again")
-    )
-    ranked = cut(ranked)
-    whole = ranked.where("again").select("id", "version", "run")
-    wanted = ranked.where("not again").groupBy("id", "version").agg(F.collect_list("run").alias("runs"))
-    at = _positions(texts.join(wanted.hint("shuffle_hash"), ["id", "version"]))
-    # Doubling: what is unique by its first half is done; the others are ranked by the pair.
-    by_half, by_pair = Window.partitionBy("rank"), Window.partitionBy("rank", "next")
-    spot = F.struct("id", "version", "at")
-    parts = (
-        at.withColumn("lo", F.min(spot).over(by_half))
-        .withColumn("hi", F.max(spot).over(by_half))
-        .where("lo <> hi")
-        .withColumn("first", F.min(spot).over(by_pair))
-        .where(spot != F.col("first"))
-        .select("id", "version", F.shiftleft("at", 12).alias("run"))
     )
-    return whole.unionByName(parts)
+    whole = ranked.where(place != F.col("first")).select("id", "version", "run")
+    wanted = ranked.where((place == F.col("first")) & (F.col("low") != F.col("high"))).groupBy("id", "version").agg(F.collect_list(F.struct("key", "hot", "run")).alias("runs"))
+    # All of it is one plan: texts, anchors and runs are shuffled once each and read again.
+    cold, hot = (wanted.withColumn("runs", F.filter("runs", f)).where(F.size("runs") > 0).hint("shuffle_hash") for f in (lambda r: ~r.hot, lambda r: r.hot))
+    parts = _repeats_in_tasks(_surroundings(texts.join(cold, ["id", "version"])))
+    spread = _repeats_spread(_surroundings(texts.join(hot, ["id", "version"])))
+    return whole.unionByName(parts).unionByName(spread)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
