@@ -13,7 +13,9 @@ position. Only where one gram has different surroundings, at the ends of repeate
 positions ranked: by the hash of their first half; what is unique is dropped, and the others are
 ranked again by the pair of ranks at offset 0 and at half the length. The surroundings of one gram
 are sorted together for that and ranked in their task, many grams at once; those of a gram with
-more than ``HOT_ROWS`` rows are spread, a row for each position.
+more than ``HOT_ROWS`` rows are spread, a row for each position. Equal surroundings are put together
+before they are dealt out, so a passage that very many documents share is a row for each batch of
+texts, not for each document.
 
 Gram and surroundings are compared by two independent 64-bit hashes, halves by one each.
 
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -125,7 +128,10 @@ def anchors_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     return own, lo - bounds[own], hi - bounds[own], grams[anchor].view(np.int64), around.view(np.int64)
 
 
-RUN_SCHEMA = "id long, version long, key long, around long, run long"
+_SPOT = pa.struct([("id", pa.int64()), ("version", pa.int64()), ("run", pa.int64())])
+RUN_SCHEMA = "id long, version long, key long, around long, run long, more array<struct<id:long,version:long,run:long>>"
+#: Bytes of texts whose equal surroundings are put together before they are dealt out.
+TOGETHER_BYTES = 16_000_000
 
 
 def _pack(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -133,16 +139,46 @@ def _pack(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return (lo << 12) | (hi - lo)
 
 
+def _together(rows: list[np.ndarray]) -> pa.RecordBatch:
+    """Runs (id, version, key, around, run) as rows of ``RUN_SCHEMA``: of equal surroundings the first, with the others as ``more``."""
+    ids, version, key, around, run = rows
+    joint = _mix(key.view(np.uint64), 0x9FB21C651E98DF25) + around.view(np.uint64)
+    order = np.argsort(joint, kind="stable")
+    same = np.concatenate([[False], joint[order][1:] == joint[order][:-1]]) if len(order) else np.zeros(0, bool)
+    twice = order[same | np.concatenate([same[1:], [False]])] if len(order) else order
+    alone = np.ones(len(ids), bool)
+    alone[twice] = False
+    # Those that meet again, in order of place within their surroundings.
+    twice = twice[np.lexsort((run[twice], version[twice], ids[twice], around[twice], key[twice]))]
+    new = np.ones(len(twice), bool)
+    new[1:] = (key[twice][1:] != key[twice][:-1]) | (around[twice][1:] != around[twice][:-1])
+    heads, others = twice[new], twice[~new]
+    sizes = np.diff(np.append(np.flatnonzero(new), len(twice))) - 1
+    rest = np.flatnonzero(alone)
+    at = np.concatenate([heads, rest])
+    ends = np.concatenate([[0], np.cumsum(sizes), np.full(len(rest), sizes.sum())]).astype(np.int32)
+    more = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x[others]) for x in (ids, version, run)], fields=list(_SPOT)))
+    return pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in rows), more], ["id", "version", "key", "around", "run", "more"])
+
+
 def _runs(texts: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, versions = b["id"].to_numpy(), b["version"].to_numpy()
-            for start, data, bounds in _chunks(list(b["text"])):
+            ids, versions = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "version"))
+            held: list[list[np.ndarray]] = []
+            size = 0
+            for start, data, bounds in _chunks(b.column("text").to_pylist()):
                 own, lo, hi, key, around = anchors_of(data, bounds)
                 own = own + start
-                yield pd.DataFrame({"id": ids[own], "version": versions[own], "key": key, "around": around, "run": _pack(lo, hi)})
+                held.append([ids[own], versions[own], key, around, _pack(lo, hi)])
+                size += len(data)
+                if size >= TOGETHER_BYTES:
+                    yield _together([np.concatenate(x) for x in zip(*held)])
+                    held, size = [], 0
+            if held:
+                yield _together([np.concatenate(x) for x in zip(*held)])
 
-    return texts.mapInPandas(run, RUN_SCHEMA)
+    return texts.mapInArrow(run, RUN_SCHEMA)
 
 
 AROUND_SCHEMA = "key long, id long, version long, run long, bytes binary"
@@ -277,8 +313,15 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
         .withColumn("hot", F.count("*").over(by_key) > HOT_ROWS)
         .withColumn("first", F.min(place).over(by_class))
     )
-    whole = ranked.where(place != F.col("first")).select("id", "version", "run")
-    wanted = ranked.where((place == F.col("first")) & (F.col("low") != F.col("high"))).groupBy("id", "version").agg(F.collect_list(F.struct("key", "hot", "run")).alias("runs"))
+    # What repeats as a whole (without a key) and what is to be ranked, as one list: both are
+    # read from the same shuffle.
+    first = place == F.col("first")
+    mark = lambda spot, key: F.struct(spot["id"].alias("id"), spot["version"].alias("version"), spot["run"].alias("run"), key.alias("key"), F.col("hot").alias("hot"))
+    again = F.transform(F.when(first, F.col("more")).otherwise(F.concat(F.array(place), F.col("more"))), lambda r: mark(r, F.lit(None).cast("long")))
+    asked = F.array(mark(place, F.when(first & (F.col("low") != F.col("high")), F.col("key"))))
+    marks = ranked.select(F.explode(F.concat(again, F.filter(asked, lambda m: m.key.isNotNull()))).alias("m")).select("m.*")
+    whole = marks.where("key is null").select("id", "version", "run")
+    wanted = marks.where("key is not null").groupBy("id", "version").agg(F.collect_list(F.struct("key", "hot", "run")).alias("runs"))
     # All of it is one plan: texts, anchors and runs are shuffled once each and read again.
     cold, hot = (wanted.withColumn("runs", F.filter("runs", f)).where(F.size("runs") > 0).hint("shuffle_hash") for f in (lambda r: ~r.hot, lambda r: r.hot))
     parts = _repeats_in_tasks(_surroundings(texts.join(cold, ["id", "version"])))
