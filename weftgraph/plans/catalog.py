@@ -11,6 +11,8 @@ from weftgraph.functions import text as X
 from weftgraph.operators import analytics, rank, relational, resolve, traverse
 from weftgraph.operators import select as S
 from weftgraph.plans.graph import DOCUMENT_SQL, ENTITY_SQL, PropertyGraph, build, document_graph, entity_graph, first_wins
+from weftgraph.sources import graphs, index, logs
+from weftgraph.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -593,3 +595,65 @@ def k8(spark, d):
 def r1(spark, d):
     top = rank.tfidf(document_graph(spark, d).nodes, _Q).select("id", F.round("semantic", 6).alias("s")).orderBy(F.desc("s"), "id").limit(50)
     return top.select(F.row_number().over(Window.orderBy(F.desc("s"), "id")).alias("rank"), "id")
+
+
+# ---- sources, sinks, parsers and streams: written to the shared folder and read back
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared folder (a private one where none is set, as in tests)."""
+    import tempfile
+    from uuid import uuid4
+
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='wg-')}/{name}-{uuid4().hex}"
+
+
+_EDGE_DIGEST = "SELECT src, dst, relation FROM e"
+
+
+@query("S4_S5_S10_graphml", f"{_E} {_EDGE_DIGEST}")
+def s4(spark, d):
+    path = _scratch(spark, "graphml")
+    graphs.write_graphml(entity_graph(spark, d), path)
+    return graphs.read_graphml(spark, path).edges.select("src", "dst", "relation")
+
+
+@query("S6_S7_S11_csv", f"{_E} SELECT id, label, type, coalesce(description, '') AS description FROM n")
+def s6(spark, d):
+    path, g = _scratch(spark, "csv"), entity_graph(spark, d)
+    graphs.write_csv(g, path)
+    return graphs.read_csv(spark, f"{path}/nodes", f"{path}/relationships").nodes.select("id", "label", "type", "description")
+
+
+@query("S14_S15_S16_logs", "SELECT event_type AS query, count(*) AS entries, sum(event_id)::BIGINT AS tokens FROM events GROUP BY event_type")
+def s14(spark, d):
+    path = _scratch(spark, "audit")
+    logs.append(_t(spark, d, "events").select(F.col("event_type").alias("query"), F.col("event_id").cast("int").alias("tokens_used")), path)
+    return logs.read_audit(spark, path).groupBy("query").agg(F.count("*").alias("entries"), F.sum("tokens_used").alias("tokens"))
+
+
+@query("I1_X7_index_python", """WITH f AS (SELECT 'pkg.s' || (doc_id % 7) || '.m' || doc_id AS m, 'Doc' || doc_id AS c FROM documents),
+ p AS (SELECT m, c, m || '.' || c AS k FROM f)
+ SELECT m AS src, m || '.helper' AS dst, 'contains' AS relation FROM p UNION ALL SELECT m, k, 'contains' FROM p UNION ALL SELECT k, k || '.run', 'contains' FROM p UNION ALL SELECT k, k || '.stop', 'contains' FROM p
+ UNION ALL SELECT k || '.run', m || '.helper', 'calls' FROM p UNION ALL SELECT k || '.run', k || '.stop', 'calls' FROM p UNION ALL SELECT k || '.stop', k, 'calls' FROM p""")
+def i1(spark, d):
+    name = F.col("doc_id").cast("string")
+    text = F.format_string("def helper():\n    pass\n\nclass Doc%1$s:\n    def run(self):\n        helper()\n        return self.stop()\n\n    def stop(self):\n        return Doc%1$s()\n", name)
+    files = _t(spark, d, "documents").select(F.concat(F.lit("pkg/s"), (F.col("doc_id") % 7).cast("string"), F.lit("/m"), name, F.lit(".py")).alias("path"), text.alias("content"))
+    return index.index_files(files).edges.select("src", "dst", "relation")
+
+
+@query("I3_X5_index_go_calls", """SELECT 'cmd.c' || doc_id || '.main.main' AS src, 'lib.p' || doc_id || '.a.Run' AS dst FROM documents""")
+def i3(spark, d):
+    name = F.col("doc_id").cast("string")
+    docs = _t(spark, d, "documents")
+    lib = docs.select(F.concat(F.lit("lib/p"), name, F.lit("/a.go")).alias("path"), F.format_string("package p%1$s\n\nfunc Run() {}\n", name).alias("content"))
+    cmd = docs.select(F.concat(F.lit("cmd/c"), name, F.lit("/main.go")).alias("path"), F.format_string('package main\n\nimport "example.com/lib/p%1$s"\n\nfunc main() { p%1$s.Run() }\n', name).alias("content"))
+    return index.index_files(lib.unionByName(cmd)).edges.where("relation = 'calls'").select("src", "dst")
+
+
+@query("T2_session_stream", "SELECT event_type AS query, count(*) AS entries FROM events GROUP BY event_type")
+def t2(spark, d):
+    source, out, ck = (_scratch(spark, x) for x in ("sessions", "tailed", "progress"))
+    _t(spark, d, "events").select(F.to_json(F.struct(F.col("ts").cast("string").alias("ts"), F.col("event_type").alias("query"))).alias("value")).unionByName(spark.createDataFrame([("not an entry",)], "value string")).write.text(source)
+    live.tail_sessions(spark, source, lambda b, n: b.write.mode("append").parquet(out), ck, once=True).awaitTermination()
+    return spark.read.parquet(out).groupBy("query").agg(F.count("*").alias("entries"))
