@@ -197,7 +197,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees | None:
 def learn(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Trees | None:
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     few = stats.join(marks, "doc_id").select("doc_id", "quality", "features").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows).toPandas()
-    return fit_trees(np.array(few["features"].tolist()).reshape(len(few), -1), few["quality"].to_numpy())
+    return fit_trees(np.array(few["features"].tolist()).reshape(-1, len(FEATURES)), few["quality"].to_numpy())
 
 
 def judge(stats: DataFrame, model: Trees | None) -> DataFrame:
@@ -208,7 +208,7 @@ def judge(stats: DataFrame, model: Trees | None) -> DataFrame:
             if model is None:
                 score, ok = np.full(len(b), np.nan), np.ones(len(b), bool)
             else:
-                score = model.score(np.array(b["features"].tolist()).reshape(len(b), -1))
+                score = model.score(np.array(b["features"].tolist()).reshape(-1, len(FEATURES)))
                 ok = score >= model.threshold
             b["kept"], b["score"] = ~b["base_failed"].astype(bool) & ok, score
             yield b.drop(columns="features")
@@ -217,7 +217,7 @@ def judge(stats: DataFrame, model: Trees | None) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept.."""
+    """The rows of ``docs`` that are kept: the base rules and the trees agree."""
     stats = cut(document_statistics(docs))
     model = learn(stats, labels)
 
