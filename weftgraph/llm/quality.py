@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, smallest_hashes, table
 
 FIT_ROWS = 16_000
 KEEP = 0.995
@@ -196,7 +196,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees | None:
 
 def learn(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Trees | None:
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
-    few = stats.join(marks, "doc_id").select("doc_id", "quality", "features").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows).toPandas()
+    few = smallest_hashes(stats.join(marks, "doc_id").select("doc_id", "quality", "features"), "doc_id", rows).toPandas().sort_values(["doc_id", "quality"])
     return fit_trees(np.array(few["features"].tolist()).reshape(-1, len(FEATURES)), few["quality"].to_numpy())
 
 
