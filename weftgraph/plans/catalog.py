@@ -70,7 +70,7 @@ def p3(spark, d):
 @query("P5_P6_names", f"{_D} SELECT id, concat_ws(' ', nullif(label, ''), coalesce(nullif(type, ''), nullif(file_type, '')), nullif(left(description, 40), '')) AS text, CASE WHEN type IN ('function', 'method') THEN label || '()' ELSE label END AS name FROM d")
 def p5(spark, d):
     n = document_graph(spark, d).nodes
-    return n.select("id", X.embedding_text(F.col("label"), F.col("type"), F.col("file_type"), F.substring("description", 1, 40)).alias("text"), X.display_name(F.col("label"), F.col("type")).alias("name"))
+    return n.select("id", X.embedding_text(F.col("label"), F.col("type"), F.col("file_type"), F.col("description")).alias("text"), X.display_name(F.col("label"), F.col("type")).alias("name"))
 
 
 @query("P7_P8_P9_P11_P23_paths", f"""{_D} SELECT id, source_file AS path, regexp_matches(source_file, '{_TEST}') OR starts_with(list_last(string_split(id, '.')), 'test_') AS is_test,
@@ -565,9 +565,7 @@ def g9b(spark, d):
 
 @query("C2_A10_benchmark")
 def c2(spark, d):
-    g = document_graph(spark, d)
-    g = PropertyGraph(g.nodes.withColumn("description", F.substring("description", 1, 200)), g.edges)
-    return analytics.benchmark(g, ["en the", "source Doc"], (1000, 4000), iterations=3, tolerance=None)
+    return analytics.benchmark(document_graph(spark, d), ["en the", "source Doc"], (1000, 4000), iterations=3, tolerance=None)
 
 
 @query("J13_query_budget_pairs", "SELECT q.event_type AS query, b.budget FROM (SELECT DISTINCT event_type FROM events) q, (SELECT unnest([1000, 4000, 8000])::BIGINT AS budget) b")
