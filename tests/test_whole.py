@@ -33,3 +33,40 @@ def test_benchmark_reads_whole_texts(spark, documents):
     assert len(got) == 4 and all(r.whole >= sum(math.ceil(len(x) / 4) for x in lines) for r in got)
     by = {(r.query, r.budget): r for r in got}
     assert by["en the", 1000].nodes_selected < len(rows) == by["en the", 4000].nodes_selected
+
+
+def settled(ids, edges, alpha=0.85, rounds=100, tolerance=1e-6):
+    """Ranks by plain power iteration."""
+    n = len(ids)
+    out = {i: sum(w for a, _, w in edges if a == i) for i in ids}
+    rank = dict.fromkeys(ids, 1 / n)
+    for _ in range(rounds):
+        mass = sum(rank[i] for i in ids if not out[i])
+        new = {i: (alpha * mass + 1 - alpha) / n for i in ids}
+        for a, b, w in edges:
+            new[b] += alpha * rank[a] * w / out[a]
+        change, rank = sum(abs(new[i] - rank[i]) for i in ids), new
+        if change < n * tolerance:
+            break
+    top = max(rank.values())
+    return {i: r / top for i, r in rank.items()}
+
+
+def test_ranks_settle(spark, documents):
+    d, rows = documents
+    ids = [f"doc:{i}" for i, *_ in rows]
+    want = settled(ids, [(f"doc:{i}", f"doc:{i + 2}", 1.0) for i, *_ in rows[:-2]])
+    got = {r.id: r.structural for r in catalog.QUERIES["G4_G5_combined_score"](spark, d).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in ids)
+    first = {i: r for i, r in settled(ids, [(f"doc:{i}", f"doc:{i + 2}", 1.0) for i, *_ in rows[:-2]], rounds=3).items()}
+    assert any(abs(first[i] - want[i]) > 1e-3 for i in ids)
+
+
+def test_benchmark_and_entity_ranks_use_defaults(spark, documents, monkeypatch):
+    asked = []
+    whole = catalog.rank.pagerank
+    monkeypatch.setattr(catalog.rank, "pagerank", lambda g, *args, **params: asked.append((args, params)) or whole(g, *args, **params))
+    monkeypatch.setattr(catalog, "entity_graph", catalog.document_graph)
+    catalog.QUERIES["G1_G2_pagerank"](spark, documents[0])
+    catalog.QUERIES["C2_A10_benchmark"](spark, documents[0])
+    assert asked == [((), {}), ((), {})]

@@ -376,7 +376,7 @@ def _pagerank_sql(n: str, e: str, rounds: int) -> str:
 
 @query("G1_G2_pagerank", f"{_E}, {_pagerank_sql('n', 'e', 4)} SELECT id, round(r / (SELECT max(r) FROM r4), 7) AS structural FROM r4")
 def g1(spark, d):
-    r = rank.pagerank(entity_graph(spark, d), iterations=4, tolerance=None)
+    r = rank.pagerank(entity_graph(spark, d))
     top = r.agg(F.max("rank").alias("top"))
     return r.join(F.broadcast(top)).select("id", F.round(F.col("rank") / F.col("top"), 7).alias("structural"))
 
@@ -386,7 +386,7 @@ def g1(spark, d):
  SELECT id, round(CASE WHEN file_type = 'code' THEN least(1.0, 0.4 * st + 0.6 * semantic + 0.3) ELSE 0.4 * st + 0.6 * semantic END, 6)::DOUBLE AS score, round(st, 6) AS structural, round(semantic, 6) AS semantic FROM s""")
 def g4(spark, d):
     r = lambda c: F.round(c, 6).alias(c)
-    return rank.score(document_graph(spark, d), _Q, iterations=3, tolerance=None).select("id", r("score"), r("structural"), r("semantic"))
+    return rank.score(document_graph(spark, d), _Q).select("id", r("score"), r("structural"), r("semantic"))
 
 
 @query("G6_G7_embeddings", "SELECT a.vec_id, round(greatest(0.0, least(1.0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6)::DOUBLE AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b")
@@ -565,7 +565,7 @@ def g9b(spark, d):
 
 @query("C2_A10_benchmark")
 def c2(spark, d):
-    return analytics.benchmark(document_graph(spark, d), ["en the", "source Doc"], (1000, 4000), iterations=3, tolerance=None)
+    return analytics.benchmark(document_graph(spark, d), ["en the", "source Doc"], (1000, 4000))
 
 
 @query("J13_query_budget_pairs", "SELECT q.event_type AS query, b.budget FROM (SELECT DISTINCT event_type FROM events) q, (SELECT unnest([1000, 4000, 8000])::BIGINT AS budget) b")
