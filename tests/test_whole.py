@@ -70,3 +70,36 @@ def test_benchmark_and_entity_ranks_use_defaults(spark, documents, monkeypatch):
     catalog.QUERIES["G1_G2_pagerank"](spark, documents[0])
     catalog.QUERIES["C2_A10_benchmark"](spark, documents[0])
     assert asked == [((), {}), ((), {})]
+
+
+@pytest.fixture
+def entities(spark, monkeypatch):
+    """A graph with nodes of all six types; edges lead from each to the next."""
+    types = ("region", "nation", "supplier", "customer", "part", "order")
+    rows = [(f"{t}:{'1' * (k + 1)}", f"{t.title()}{k}", t, "about", f"schema/{t}.sql") for t in types for k in range(3)]
+    edges = [(a[0], b[0], "to", 1.0) for a, b in zip(rows, rows[1:])]
+    g = catalog.PropertyGraph(spark.createDataFrame(rows, "id string, label string, type string, description string, source_file string"), spark.createDataFrame(edges, "src string, dst string, relation string, weight double"))
+    monkeypatch.setattr(catalog, "entity_graph", lambda *_: g)
+    return rows
+
+
+def test_viz_shows_all_types(spark, entities):
+    got = {r.id: r.size for r in catalog.QUERIES["P20_P21_viz"](spark, "").collect()}
+    scores = {r[0]: len(r[0]) * 7 % 50 for r in entities}
+    lo, hi = min(scores.values()), max(scores.values())
+    assert got.keys() == scores.keys() and all(abs(got[i] - (14 + 18 * (s - lo) / (hi - lo))) <= 0.0051 for i, s in scores.items())
+
+
+def test_selection_takes_all_types(spark, entities):
+    cost = lambda r: math.ceil(len(f"{r[0]} {r[1]} ({r[2]}) {r[3]} -> {r[4]}") / 4)
+    scores = {r[0]: round((len(r[0]) * 37 + len(r[1]) * 11) % 101 / 100, 2) for r in entities}
+    want, left = [], 300
+    for r in sorted(entities, key=lambda r: (-scores[r[0]], r[0])):
+        if scores[r[0]] >= 0.2 and cost(r) <= left:
+            want.append(r[0])
+            left -= cost(r)
+    got = [r.id for r in catalog.QUERIES["G9_select_without_boost"](spark, "").orderBy("pos").collect()]
+    assert got == want and {"part", "order", "customer"} & {i.split(":")[0] for i in got}
+    scored = {r[0] for r in spark.createDataFrame(entities, "id string, label string, type string, description string, source_file string").selectExpr("id", "pmod(xxhash64(id), 1000) / 1000 AS s").where("s >= 0.3").collect()}
+    boosted = catalog.QUERIES["G9_select_with_boost"](spark, "").where("budget = 4000").collect()
+    assert {r.id for r in boosted} == scored and {"part", "order"} & {i.split(":")[0] for i in scored}

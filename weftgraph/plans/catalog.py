@@ -101,7 +101,7 @@ def p13(spark, d):
  SELECT id, CASE WHEN regexp_matches(list_last(string_split(list_last(string_split(trim(label), '.')), '/')), '^[A-Z]') THEN 'class' ELSE 'default' END AS kind,
  round(14 + 18 * (score - lo) / (hi - lo), 2) AS size, '#1f2a36' AS dark, replace(replace(label, '&', '&amp;'), '<', '&lt;') AS html FROM s, m""")
 def p20(spark, d):
-    n = entity_graph(spark, d).nodes.where("type in ('region', 'nation', 'supplier')").select("id", "label", "type", (F.length("id") * 7 % 50).cast("double").alias("score"))
+    n = entity_graph(spark, d).nodes.select("id", "label", "type", (F.length("id") * 7 % 50).cast("double").alias("score"))
     m = n.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     return n.join(F.broadcast(m)).select("id", X.viz_type(F.col("type"), F.lit("code"), F.col("label"), ("function", "class", "module")).alias("kind"), X.viz_size(F.col("score"), F.col("lo"), F.col("hi")).alias("size"), X.darken(F.lit("#253240")).alias("dark"), X.escape_html(F.col("label")).alias("html"))
 
@@ -550,7 +550,7 @@ def a20(spark, d):
  r AS (SELECT list_reduce(list_transform(xs, lambda x: {{'left_': 300::BIGINT, 'ids': [x.id], 'cost': x.cost}}), lambda a, x: CASE WHEN x.cost <= a.left_ THEN {{'left_': a.left_ - x.cost, 'ids': list_concat(a.ids, x.ids), 'cost': 0::BIGINT}} ELSE a END, {{'left_': 300::BIGINT, 'ids': []::VARCHAR[], 'cost': 0::BIGINT}}) AS a FROM o)
  SELECT (k - 1)::INT AS pos, a.ids[k] AS id FROM (SELECT a, unnest(range(1, len(a.ids) + 1)) AS k FROM r)""")
 def g9(spark, d):
-    n = entity_graph(spark, d).nodes.where("type in ('supplier', 'nation', 'region')")
+    n = entity_graph(spark, d).nodes
     line = X.serialised(*map(F.col, ("id", "label", "type", "description", "source_file")))
     rows = n.select("id", F.round((F.length("id") * 37 + F.length("label") * 11) % 101 / 100.0, 2).alias("score"), X.estimated_tokens(line).alias("cost"))
     return S.select_without_boost(rows.where("score >= 0.2"), 300)
@@ -558,7 +558,7 @@ def g9(spark, d):
 
 @query("G9_select_with_boost")
 def g9b(spark, d):
-    g = entity_graph(spark, d).where(F.col("type").isin("supplier", "nation", "region", "customer"))
+    g = entity_graph(spark, d)
     scores = g.nodes.select(F.lit("q").alias("query"), "id", (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("score"))
     return S.select(g, scores, spark.range(1).select(F.lit("q").alias("query"), F.explode(F.array(F.lit(1000).cast("long"), F.lit(4000).cast("long"))).alias("budget")), 0.5, 0.3)
 
