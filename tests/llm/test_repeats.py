@@ -82,3 +82,23 @@ def test_one_id_with_two_texts(spark):
 
 def test_empty_table(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    docs = corpus(9)
+    monkeypatch.setattr(suffix, "PIECE_BYTES", 150)
+    got = {}
+    for own, begin, data, bounds in suffix._chunks([t for _, t in docs]):
+        piece, lo, hi, _, _ = suffix.anchors_of(data, bounds)
+        for k, a, b in zip(own[piece], lo + begin[piece], hi + begin[piece]):
+            got.setdefault(int(k), []).extend(range(a, b + 1))
+    for k, (_, t) in enumerate(docs):
+        assert sorted(got.get(k, [])) == list(range(max(0, len((t or "").encode()) - suffix.LENGTH + 1)))
+
+
+def test_text_beyond_the_numbers_of_positions(spark):
+    rng = np.random.default_rng(10)
+    long = bytes(rng.integers(97, 123, 17_000_000, dtype=np.uint8)).decode()
+    edge = long[suffix.PIECE_BYTES - 300 : suffix.PIECE_BYTES + 300]
+    got = result(spark, [(1, long), (2, edge)])
+    assert got[1][:2] == (len(long), 0) and got[2][:2] == (600, 600)

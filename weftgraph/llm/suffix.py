@@ -39,8 +39,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 LENGTH, GRAM = 100, 24
-#: Bytes hashed together; the number of a position must fit into ``_BITS`` bits.
+#: Bytes hashed together; of a gram's hash the upper ``_BITS`` bits are compared, the others number positions.
 CHUNK_BYTES, _BITS = 2_000_000, 40
+#: Bytes from which a text is cut into pieces that share ``LENGTH - 1`` bytes, so that each string is in one of them.
+PIECE_BYTES = 2_000_000
 #: Anchors of one gram from which on its positions are ranked by Spark; surroundings ranked at once in a task.
 HOT_ROWS, ROWS_AT_ONCE = 200_000, 20_000
 HALF = LENGTH // 2
@@ -78,17 +80,30 @@ class Hashes:
         return (self.sums[n:] - self.sums[:k]) * self.down[:k]
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, its texts' bytes together, where each begins and the last ends)."""
-    start = 0
-    while start < len(texts):
-        parts, size, end = [], 0, start
-        while end < len(texts) and (not parts or size < CHUNK_BYTES):
-            parts.append((texts[end] or "").encode("utf-8", "surrogatepass"))
-            size += len(parts[-1])
-            end += 1
-        yield start, np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        start = end
+def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int, bytes]]:
+    """(text, where it begins in the text, bytes) of the pieces of texts; their strings are those of the texts, each once."""
+    for i, text in enumerate(texts):
+        data = (text or "").encode("utf-8", "surrogatepass")
+        for at in range(0, max(1, len(data) - LENGTH + 1), PIECE_BYTES - LENGTH + 1):
+            yield i, at, data[at : at + PIECE_BYTES]
+
+
+def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text of each piece, where the piece begins in it, the pieces' bytes together, where each begins and the last ends)."""
+    held, size = [], 0
+
+    def together() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        own, at, parts = zip(*held)
+        return np.array(own), np.array(at), np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    for piece in _pieces(texts):
+        held.append(piece)
+        size += len(piece[2])
+        if size >= CHUNK_BYTES:
+            yield together()
+            held, size = [], 0
+    if held:
+        yield together()
 
 
 def _lowest(values: np.ndarray, width: int) -> np.ndarray:
@@ -111,8 +126,6 @@ def anchors_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     width = LENGTH - GRAM + 1
     grams = _mix(h.grams(GRAM), 0xD6E8FEB86659FD93)
     low_bits = np.uint64((1 << 64 - _BITS) - 1)
-    if len(data) > int(low_bits):
-        raise ValueError("a text is too long to be numbered")
     at = (_lowest((grams & ~low_bits) | np.arange(len(grams), dtype=np.uint64), width) & low_bits).astype(np.int64)
     starts = np.arange(len(at))
     text = np.searchsorted(bounds, starts, "right") - 1
@@ -167,9 +180,9 @@ def _runs(texts: DataFrame) -> DataFrame:
             ids, versions = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "version"))
             held: list[list[np.ndarray]] = []
             size = 0
-            for start, data, bounds in _chunks(b.column("text").to_pylist()):
-                own, lo, hi, key, around = anchors_of(data, bounds)
-                own = own + start
+            for texts_of, begin, data, bounds in _chunks(b.column("text").to_pylist()):
+                piece, lo, hi, key, around = anchors_of(data, bounds)
+                own, lo, hi = texts_of[piece], lo + begin[piece], hi + begin[piece]
                 held.append([ids[own], versions[own], key, around, _pack(lo, hi)])
                 size += len(data)
                 if size >= TOGETHER_BYTES:
