@@ -84,6 +84,19 @@ def test_empty_table(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_equal_rows_in_one_partition(spark):
+    """Also with a passage whose surroundings differ, so that its positions are ranked."""
+    rng = random.Random(6)
+    t, u, shared = words(rng, 50), words(rng, 50), words(rng, 40)
+    docs = [(1, t), (2, f"{words(rng, 20)} {shared} {words(rng, 20)}"), (3, f"{words(rng, 20)} {shared} {words(rng, 20)}"), (4, u)]
+    want = brute(docs)
+    assert want[1][1] == want[2][1] == 0 and want[3][1] > 100
+    for parts in (1, 5):
+        df = spark.createDataFrame([(i, x, "", "") for i, x in docs + docs], SCHEMA).coalesce(1).repartition(parts)
+        rows = suffix.remove_repeats(df).collect()
+        assert len(rows) == 2 * len(docs) and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in rows)
+
+
 def test_pieces_of_long_texts(monkeypatch):
     docs = corpus(9)
     monkeypatch.setattr(suffix, "PIECE_BYTES", 150)

@@ -350,7 +350,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # Ids are read alone; only where some repeat is a document told apart by its text too.
     unique = ids.groupBy("id").count().where("count > 1").isEmpty()
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("id"), (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("version"), text.alias("text"))
-    marks = repeated_runs(texts).groupBy("id", "version").agg(F.collect_list("run").alias("runs"))
+    # Equal rows are one document: its strings are counted once, its marks go to all of them.
+    once = texts if unique else texts.dropDuplicates(["id", "version"])
+    marks = repeated_runs(once).groupBy("id", "version").agg(F.collect_list("run").alias("runs"))
     marked = texts.join(marks.hint("shuffle_hash"), ["id", "version"], "left")
     return _removed(marked.select(F.when(F.col("id") != least, F.col("id")).alias("doc_id"), "text", "runs"))
 
