@@ -4,14 +4,15 @@ Pages are cut into tokens: elements by their path (tags with class and id words)
 text within them. The occurrence vector of a token says how often each page of its host has it;
 tokens with equal vectors form an equivalence class. Vectors are never gathered: a sum of hashes
 of (page, count) stands for one, so classes come from one partial aggregate over (host, token).
-Classes that are frequent (a share of the host's pages) are valid if their tokens hang under each
-other or under a token of a class that contains theirs; nested, they are the host's template.
-What the template doesn't fill is a slot.
+Classes that are frequent (a share of the host's pages) and large (two tokens) are read on the
+pages a second time: valid are those whose tokens come in the same order on every page and whose
+runs lie within a gap of another class, never across it. They are the host's template; what it
+doesn't fill is a slot.
 
 From a page, the slots inside its article are taken (``article``, else ``main``); without one, all
 slots that aren't mostly links. Menus, headers, footers, sidebars, notices, adverts, forms and
-comments go by element or by words in class and id, in the article too. Text inside the article is
-never taken for template: copies of an article on one host stay whole.
+comments go by element or by words in class and id, in the article too. An article that is
+template altogether (copies of it on most pages of a host) stays whole.
 
 Templates go to the pages by a broadcast only if their measured size is below
 ``BROADCAST_BYTES``, else by a join on the host.
@@ -24,6 +25,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -35,6 +37,8 @@ from .common import cut, table
 
 #: Least share of a host's pages, and least number of pages, of a template token.
 SHARE, LEAST_PAGES = 0.4, 3
+#: Least number of tokens of a class.
+LARGE = 2
 BROADCAST_BYTES = 16 << 20
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
@@ -83,8 +87,11 @@ class Element:
         self.path = (above.path if above else "") + "/" + tag + "".join("." + w for w in words[:4])
 
 
-def blocks(html: str) -> list[tuple[str, str, int, int]]:
-    """(path, text, how main it is, characters in links) of the blocks of a page that aren't dropped, in order."""
+def blocks(html: str, order: list[int] | None = None) -> list[tuple[str, str, int, int]]:
+    """(path, text, how main it is, characters in links) of the blocks of a page that aren't dropped, in order.
+
+    The tokens of elements and blocks are added to ``order`` as they come.
+    """
     out: list[tuple[str, str, int, int]] = []
     stack: list[Element] = []
     text: list[str] = []
@@ -98,6 +105,8 @@ def blocks(html: str) -> list[tuple[str, str, int, int]]:
             if block:
                 top = next((e for e in reversed(stack) if e.tag not in INLINE), stack[-1] if stack else None)
                 out.append((top.path if top else "", block, top.main if top else 0, links))
+                if order is not None:
+                    order.append(_token(out[-1][0], block))
             text.clear()
         links = 0
 
@@ -157,6 +166,8 @@ def blocks(html: str) -> list[tuple[str, str, int, int]]:
             continue
         if not (m[3] or "").endswith("/") or tag not in ("svg", "path"):
             stack.append(Element(tag, m[3] or "", stack[-1] if stack else None))
+            if order is not None and tag not in INLINE and not stack[-1].dropped:
+                order.append(_token(stack[-1].path))
     end()
     return out
 
@@ -166,7 +177,7 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-TOKENS = "host string, token long, parent long, n int, page long"
+TOKENS = "host string, token long, n int, page long"
 
 
 def _token(path: str, text: str = "") -> int:
@@ -176,7 +187,7 @@ def _token(path: str, text: str = "") -> int:
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """Tokens of ``pages`` (host, html) outside of articles, with the path they hang under."""
+    """Tokens of ``pages`` (host, html) with their number on each page."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -186,18 +197,47 @@ def tokens(pages: DataFrame) -> DataFrame:
             for host, html in zip(b["host"], b["html"]):
                 html = html or ""
                 page = xxhash.xxh3_64_intdigest(html.encode("utf-8", "surrogatepass")) - (1 << 63)
-                seen: dict[tuple[int, int], int] = {}
-                for path, text, main, _ in blocks(html):
-                    if not main:
-                        up, under = path.rpartition("/")[0], _token(path)
-                        for key in ((under, _token(up)), (_token(path, text), under)):
-                            seen[key] = seen.get(key, 0) + 1
-                rows += [(host, t, u, n, page) for (t, u), n in seen.items()]
-            yield pd.DataFrame(rows, columns=["host", "token", "parent", "n", "page"])
+                order: list[int] = []
+                blocks(html, order)
+                rows += [(host, t, n, page) for t, n in Counter(order).items()]
+            yield pd.DataFrame(rows, columns=["host", "token", "n", "page"])
 
     return pages.select("host", "html").mapInPandas(run, TOKENS)
 
 
+def shapes(order: list[int], classes: dict[int, int], sizes: Counter) -> dict[int, tuple[tuple[int, ...], bool]]:
+    """By class on a page: the order of its tokens, and whether that and the nesting hold throughout."""
+    runs: dict[int, list[int]] = {}
+    bad: set[int] = set()
+    open_: list[list[int]] = []  # class, tokens seen
+    for t in order:
+        c = classes.get(t)
+        if c is None:
+            continue
+        runs.setdefault(c, []).append(t)
+        at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == c), -1)
+        if at < 0:
+            open_.append([c, 0])
+        else:
+            bad.update(x for x, _ in open_[at + 1 :])  # runs across a token of c
+            del open_[at + 1 :]
+        open_[-1][1] += 1
+        if open_[-1][1] == sizes[c]:
+            open_.pop()
+    out = {}
+    for c, ts in runs.items():
+        k = sizes[c]
+        one = ts[:k]
+        out[c] = tuple(one), c not in bad and len(set(one)) == k and ts == one * (len(ts) // k)
+    return out
+
+
+def _on_host(pages: DataFrame, made: DataFrame, column: str, item: int) -> DataFrame:
+    """``pages`` with their host's ``column`` of items of so many bytes, by broadcast if it is small."""
+    size = made.agg(F.coalesce(F.sum(item * F.size(column) + F.length("host") + 64), F.lit(0))).first()[0]
+    return pages.join(F.broadcast(made) if size <= BROADCAST_BYTES else made, "host", "left")
+
+
 def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
     """(host, template): the tokens of the valid frequent classes of each host.
 
@@ -208,24 +248,42 @@ def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES)
     vectors = (
         tokens(pages)
         .groupBy("host", "token", "page")
-        .agg(F.max("n").alias("n"), F.min("parent").alias("parent"))
+        .agg(F.max("n").alias("n"))
         .groupBy("host", "token")
-        .agg(F.count("*").alias("support"), F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"), F.min("parent").alias("parent"))
+        .agg(F.count("*").alias("support"), F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"))
     )
-    frequent = cut(vectors.join(distinct, "host").where((F.col("support") >= least) & (F.col("support") >= F.col("pages") * share)))
-    classes = frequent.groupBy("host", "vector").agg(F.count("*").alias("size"), F.first("support").alias("class_support"))
-    up = frequent.select(F.col("host").alias("up_host"), F.col("token").alias("p"), F.col("vector").alias("above"), F.col("support").alias("above_support"))
-    nested = frequent.join(classes, ["host", "vector"]).join(up, (F.col("host") == F.col("up_host")) & (F.col("parent") == F.col("p")), "left").select("host", "token", "vector", "size", "class_support", "above", "above_support")
-    # Valid: a class of its own size, or under a token of a class that spans its pages.
-    valid = nested.where((F.col("size") > 1) | F.col("above").isNull() | (F.col("above_support") >= F.col("class_support")))
-    return valid.groupBy("host").agg(F.collect_set("token").alias("template"))
+    frequent = vectors.join(distinct, "host").where((F.col("support") >= least) & (F.col("support") >= F.col("pages") * share))
+    frequent = cut(frequent.select("host", "token", F.xxhash64("vector", "support").alias("class")))
+    large = frequent.groupBy("host", "class").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE)
+    known = cut(frequent.join(large, ["host", "class"]).groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("known")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for b in batches:
+            rows: set[tuple] = set()
+            for host, html, known in zip(b["host"], b["html"], b["known"]):
+                if known is None:
+                    continue
+                classes = {x["token"]: x["class"] for x in known}
+                order: list[int] = []
+                blocks(html or "", order)
+                for c, (shape, ok) in shapes(order, classes, Counter(classes.values())).items():
+                    rows.add((host, c, xxhash.xxh3_64_intdigest(repr(shape)) - (1 << 63), ok))
+            yield pd.DataFrame(list(rows), columns=["host", "class", "shape", "ok"])
+
+    seen = _on_host(pages.select("host", "html"), known, "known", 16).mapInPandas(run, "host string, class long, shape long, ok boolean")
+    valid = seen.groupBy("host", "class").agg(F.min("shape").alias("a"), F.max("shape").alias("b"), F.min("ok").alias("ok")).where("ok and a = b").select("host", "class")
+    return frequent.join(valid, ["host", "class"]).groupBy("host").agg(F.collect_set("token").alias("template"))
 
 
 def main_text(html: str, template: frozenset[int]) -> str:
     found = blocks(html)
     best = max((b[2] for b in found), default=0)
     if best:
-        return " ".join(text for _, text, main, _ in found if main == best)
+        own = [(path, text) for path, text, main, _ in found if main == best]
+        slots = [text for path, text in own if _token(path, text) not in template]
+        return " ".join(slots or [text for _, text in own])
     return " ".join(text for path, text, _, links in found if 2 * links <= len(text) and _token(path, text) not in template)
 
 
@@ -233,15 +291,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of(F.col("url")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     made = cut(templates(own))
-    size = made.agg(F.coalesce(F.sum(8 * F.size("template") + F.length("host") + 64), F.lit(0))).first()[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             text = [main_text(h, frozenset() if t is None else frozenset(t)) for h, t in zip(b["html"], b["template"])]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    joined = own.join(F.broadcast(made) if size <= BROADCAST_BYTES else made, "host", "left")
-    return joined.select("page_id", "url", "html", "template").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return _on_host(own, made, "template", 8).select("page_id", "url", "html", "template").mapInPandas(run, "page_id long, url string, text string, n_chars long")
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
