@@ -142,16 +142,43 @@ def test_packing(spark):
             assert p.start == at and p.ids_crc32 == zlib.crc32(ids.tobytes()) and p.doc_tokens == len(want[i])
             at += p.length
         assert at == len(want[i])
-    held = 0
+    full = Counter()
     for ps in seqs.values():
         at = 0
         for p in sorted(ps, key=lambda p: p.offset):
             assert p.offset == at
             at += p.length
-        assert 0 < at <= 1024
-        held += at if at & (at - 1) == 0 else 1024
-    assert held == sum(map(len, want.values()))  # no padding
+        full[at in packing.TIERS] += 1
+        assert at in packing.TIERS or at < min(packing.TIERS) and ps[0].tier == 1024
+    assert full[False] <= df.rdd.getNumPartitions()  # one padded sequence a task at most
     assert packing.pack(df.limit(0)).collect() == []
+    assert {p.doc_id for p in packing.pack(docs(spark, rows[:2]).repartition(7)).collect()} == {0, 1}
+
+
+def test_step_groups_are_full():
+    rng = random.Random(51)
+    packer = packing.Packer(1024, packing.TIERS, 8192, 0)
+    out = []
+    for d in range(4000):
+        packer.add(d, 0, rng.randrange(1, 3000))
+        if d % 500 == 499:
+            packer.pack()
+            out += packer.drain(False)
+    packer.finish()
+    out += packer.drain(True)
+    size, tier_of, seqs = Counter(), {}, Counter(seq for _, _, seq, _ in out)
+    for tier, group, _, pieces in out:
+        assert sum(e - s for _, s, e in pieces) == tier or tier == 1024
+        size[group] += tier
+        assert tier_of.setdefault(group, tier) == tier
+    assert max(seqs.values()) == 1
+    assert max(Counter(tier_of[g] for g, n in size.items() if n != 8192).values(), default=0) <= 1
+    covered = Counter()
+    for _, _, _, pieces in out:
+        for d, s, e in pieces:
+            covered[d] += e - s
+    again = random.Random(51)
+    assert covered == {d: again.randrange(1, 3000) for d in range(4000)}
 
 
 # ---- near-duplicates

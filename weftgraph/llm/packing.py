@@ -3,17 +3,21 @@
 Tiers are powers of two up to the window. A document's full windows stand alone; what is left of
 it is routed to the smallest tier that holds it. Tiers are packed from the longest down: an item
 opens a sequence of its tier, and the gap is filled with the longest item that fits from that or
-a shorter tier, at last by cutting one, so every sequence is exactly as long as its tier. Within a tier,
-sequences are dealt to step groups of equal token counts so that the sum of squared piece
-lengths (attention cost) is balanced.
+a shorter tier, at last by cutting one, so every sequence is exactly as long as its tier. Within a
+tier, sequences are dealt to step groups of ``step_tokens`` ids each, so that the sum of squared
+piece lengths (attention cost) is balanced; only the last group of a tier in a task may be short.
 
 All is done where the documents are read: a task packs the rows of its partition in rounds of
 bounded size and carries what is left into the next round; no row is shuffled. What a task has
-left at its end is cut into powers of two, so there is no padding at all.
+left at its end fills sequences of the tiers, and what is below the shortest tier is one last
+sequence, padded to the window: fewer than ``window`` ids of padding a task. Which rows share a
+sequence follows from which rows share a file split, so another split gives another packing; the
+same splits, and a task that is run again, give the same one. Rounds keep the order of the rows
+they read (``round_tokens`` bounds how far a row moves).
 
 Defined cases: a null text is empty and gives one piece, the end id alone; equal rows are packed
-one by one; a null ``doc_id`` is kept; an empty table gives an empty result; other columns are
-ignored.
+one by one; a null ``doc_id`` is kept; an empty table, or a partition without rows, gives no pieces;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,15 +109,15 @@ class Packer:
                 return
 
     def finish(self) -> None:
-        """Packs all that is left: sequences of falling powers of two, each exactly full."""
+        """Packs all that is left: full sequences of falling tiers, then one short sequence of the window's tier."""
         self.pack(0)
-        rest = [p for n in range(self.window, 0, -1) for p in self.stacks[n]]
+        rest = [p for n in range(1, self.window + 1) for p in self.stacks[n]]
         total = sum(e - s for _, s, e in rest)
         self.stacks, self.mask, self.count = [[] for _ in range(self.window + 1)], 0, 0
-        rest.reverse()
         while total:
-            tier = min(self.window, 1 << (total.bit_length() - 1))
-            gap, pieces = tier, []
+            tier = next((t for t in self.tiers if t <= total), 0)
+            gap = size = tier or total
+            pieces = []
             while gap:
                 doc, start, end = rest.pop()
                 n = min(gap, end - start)
@@ -121,22 +125,38 @@ class Packer:
                 if start + n < end:
                     rest.append((doc, start + n, end))
                 gap -= n
-            self._close(tier, pieces)
-            total -= tier
+            self._close(tier or self.window, pieces)
+            total -= size
+
+    def drain(self, last: bool) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
+        """(tier, step group, sequence, pieces) of what has been made, dealt to balanced groups.
 
-    def drain(self) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
-        """(tier, step group, sequence, pieces) of what has been made, dealt to balanced groups."""
+        Sequences that don't fill a group wait for the next round, unless it is the ``last``.
+        """
+        waiting: dict[int, list[tuple[int, list[tuple[int, int, int]]]]] = {}
         for tier, made in self.out.items():
-            groups = -(-len(made) // max(1, self.step // tier))
-            made.sort(key=lambda x: (-sum((e - s) ** 2 for _, s, e in x[1]), x[0]))
-            for i, (seq, pieces) in enumerate(made):
+            per = max(1, self.step // tier)
+            full = len(made) // per * per
+            groups = full // per
+            dealt = sorted(made[:full], key=lambda x: (-sum((e - s) ** 2 for _, s, e in x[1]), x[0]))
+            for i, (seq, pieces) in enumerate(dealt):
                 lap, at = divmod(i, groups)
                 yield tier, self.base + self.groups + (groups - 1 - at if lap % 2 else at), seq, pieces
             self.groups += groups
-        self.out = {}
+            if last and made[full:]:
+                yield from ((tier, self.base + self.groups, seq, pieces) for seq, pieces in made[full:])
+                self.groups += 1
+            elif made[full:]:
+                waiting[tier] = made[full:]
+        self.out = waiting
+
+    def used(self) -> set[int]:
+        """Documents that items or waiting sequences still refer to."""
+        waiting = (p[0] for made in self.out.values() for _, pieces in made for p in pieces)
+        return {d for stack in self.stacks for d, _, _ in stack}.union(waiting)
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, round_tokens: int = ROUND_TOKENS) -> DataFrame:
     """Pieces of the packed documents; see ``SCHEMA``. Sequence and group numbers are unique to a task."""
     if window & (window - 1) or any(t & (t - 1) for t in tiers):
         raise ValueError("window and tiers must be powers of two")
@@ -150,19 +170,20 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, t
         held: dict[int, tuple[object, bytes]] = {}
         number = tokens = 0
 
-        def flush() -> pd.DataFrame:
+        def flush(last: bool) -> Iterator[pd.DataFrame]:
             rows = [
                 (held[d][0], s, e - s, zlib.crc32(held[d][1][4 * s : 4 * e]), len(held[d][1]) // 4, seq, tier, group)
-                for tier, group, seq, pieces in packer.drain()
+                for tier, group, seq, pieces in packer.drain(last)
                 for d, s, e in pieces
             ]
+            for d in held.keys() - packer.used():
+                del held[d]
+            if not rows:
+                return
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "tier", "step_group"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             out["offset"] = out.groupby("sequence_id", sort=False)["length"].cumsum() - out["length"]
-            alive = {d for stack in packer.stacks for d, _, _ in stack}
-            for d in held.keys() - alive:
-                del held[d]
-            return out[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]]
+            yield out[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]]
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
@@ -171,12 +192,12 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, t
                 packer.add(number, 0, len(got) // 4)
                 number += 1
                 tokens += len(got) // 4
-                if tokens >= ROUND_TOKENS:
+                if tokens >= round_tokens:
                     packer.pack()
                     tokens = 0
-                    yield flush()
+                    yield from flush(False)
         packer.finish()
-        yield flush()
+        yield from flush(True)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return slim.mapInPandas(run, SCHEMA)
