@@ -51,9 +51,12 @@ def result(spark, docs):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(df).collect()}
 
 
-@pytest.mark.parametrize("hot", [200_000, 3])
-def test_like_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix, "HOT_ROWS", hot)
+@pytest.mark.parametrize("least,together", [(20, 16_000_000), (2, 16_000_000), (2, 1)])
+def test_like_brute_force(spark, monkeypatch, least, together):
+    """Also with frequent grams dealt apart, and with little put together before rows are dealt."""
+    real = suffix.frequent_grams
+    monkeypatch.setattr(suffix, "frequent_grams", lambda texts: real(texts, least=least))
+    monkeypatch.setattr(suffix, "TOGETHER_BYTES", together)
     docs = corpus(7)
     assert result(spark, docs) == brute(docs)
 
@@ -102,7 +105,7 @@ def test_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(suffix, "PIECE_BYTES", 150)
     got = {}
     for own, begin, data, bounds in suffix._chunks([t for _, t in docs]):
-        piece, lo, hi, _, _ = suffix.anchors_of(data, bounds)
+        piece, lo, hi, *_ = suffix.anchors_of(data, bounds)
         for k, a, b in zip(own[piece], lo + begin[piece], hi + begin[piece]):
             got.setdefault(int(k), []).extend(range(a, b + 1))
     for k, (_, t) in enumerate(docs):

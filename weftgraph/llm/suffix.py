@@ -1,28 +1,33 @@
-"""Removal of repeated byte strings, by prefix doubling over a sparse set of positions.
+"""Removal of repeated byte strings, by distributed prefix doubling over a sparse set of positions.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier: in a document with
 a smaller id, or earlier in the same one.
 
-Sorting every position of every text at every doubling costs many times the input in shuffles.
-Here only anchors are ranked at first. The anchor of a string is the leftmost of its
-``GRAM``-byte grams with the smallest hash, so equal strings have equal anchors, and the strings
-of neighbouring starts mostly share one: about one position in forty is an anchor. An anchor
-whose gram is unique rules out all its strings. Anchors with equal surroundings (all strings that
-hang on them) repeat each other as a whole: all but the first go without looking at a single
-position. Only where one gram has different surroundings, at the ends of repeated passages, are
-positions ranked: by the hash of their first half; what is unique is dropped, and the others are
-ranked again by the pair of ranks at offset 0 and at half the length. The surroundings of one gram
-are sorted together for that and ranked in their task, many grams at once; those of a gram with
-more than ``HOT_ROWS`` rows are spread, a row for each position. Equal surroundings are put together
-before they are dealt out, so a passage that very many documents share is a row for each batch of
-texts, not for each document.
-
-Gram and surroundings are compared by two independent 64-bit hashes, halves by one each.
+Positions are ranked in three rounds, at growing offsets; in each, Spark sorts the ranks, and what
+is unique is dropped, until the threshold is reached:
+
+1. 25 bytes, at anchors. The anchor of a string is the leftmost of its ``GRAM``-byte grams with the
+   smallest hash, so equal strings have equal anchors, and the strings of neighbouring starts mostly
+   share one: about one position in thirty is an anchor. A unique gram rules out all its strings.
+   Anchors with equal surroundings (all strings that hang on them) repeat each other as a whole: all
+   but the first go. On go the first ones of grams with more than one kind of surroundings.
+2. 63 bytes: the gram with the 38 bytes after it, for the starts that reach that far, with the 38
+   bytes before it for the others. What is unique is dropped.
+3. 100 bytes, at every start that is left: the pair of the rank at the start and the rank 50 bytes on.
+   All but the first of equal pairs go.
+
+What is equal within a batch of texts is put together before it is dealt out, so an equal string
+is one row for each batch, not for each document. Grams that are frequent in different surroundings
+(found in a bounded sample; that only chooses where rows are dealt to) are dealt by gram and
+surroundings and pass round 1 unasked. No round gathers the positions of a gram in one task.
+
+Ranks are hashes. Surroundings are equal where their gram's 64-bit hash and a 64-bit hash to another
+base are; strings where the hashes of both halves are. Bytes are not compared again.
 
 Defined cases: a null text is empty; texts below ``LENGTH`` bytes lose nothing; a null ``doc_id``
 comes first; rows with one ``doc_id`` and different texts are documents in the order of a hash of
 their texts; equal rows are one document and get equal values; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored. Texts may have any length.
 """
 
 from __future__ import annotations
@@ -33,21 +38,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
-LENGTH, GRAM = 100, 24
-#: Bytes hashed together; of a gram's hash the upper ``_BITS`` bits are compared, the others number positions.
+LENGTH, GRAM = 100, 25
+#: Bytes beside a gram in the second round; a start reaches as far on one side of it.
+BESIDE = (LENGTH - GRAM + 1) // 2
+HALF = LENGTH // 2
+#: Bytes hashed together; of a gram's hash the upper ``_BITS`` bits choose the anchor, the others number positions.
 CHUNK_BYTES, _BITS = 2_000_000, 40
 #: Bytes from which a text is cut into pieces that share ``LENGTH - 1`` bytes, so that each string is in one of them.
 PIECE_BYTES = 2_000_000
-#: Anchors of one gram from which on its positions are ranked by Spark; surroundings ranked at once in a task.
-HOT_ROWS, ROWS_AT_ONCE = 200_000, 20_000
-HALF = LENGTH // 2
-_BASE = np.uint64(0x9E3779B97F4A7C55)
-_powers: list[np.ndarray] = []
+#: Bytes of texts whose equal strings are put together before they are dealt out.
+TOGETHER_BYTES = 16_000_000
+#: Strings hashed together in the later rounds.
+ROWS_AT_ONCE = 50_000
+#: Documents of the sample that frequent grams are found in, least number of their surroundings there, and most grams.
+SAMPLE_ROWS, HOT_COUNT, HOT_MOST = 20_000, 20, 100_000
+_BASES = np.array([0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F], np.uint64)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _mix(h: np.ndarray, by: int) -> np.ndarray:
@@ -56,19 +67,20 @@ def _mix(h: np.ndarray, by: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, to ``n`` at least."""
-    if not _powers or len(_powers[0]) < n:
+def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2**64, to ``n`` at least."""
+    if base not in _powers or len(_powers[base][0]) < n:
         n = max(n, CHUNK_BYTES + 1)
-        _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, b, np.uint64))]) for b in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64)))]
-    return _powers[0], _powers[1]
+        both = (_BASES[base], np.uint64(pow(int(_BASES[base]), -1, 1 << 64)))
+        _powers[base] = tuple(np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, b, np.uint64))]) for b in both)
+    return _powers[base]
 
 
 class Hashes:
-    """Of all strings of a buffer, from one running sum."""
+    """Of all strings of a buffer, from one running sum, to one of two bases."""
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = _power(len(data) + 1)
+    def __init__(self, data: np.ndarray, base: int = 0):
+        up, self.down = _power(base, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
 
@@ -118,13 +130,12 @@ def _lowest(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of starts that share an anchor: (text, first start, last start, gram, surroundings), starts within the text."""
+    """Runs of starts that share an anchor: (text, first start, last start, anchor, gram, surroundings), places within the text."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return none, none, none, none, none
-    h = Hashes(data)
+        return none, none, none, none, none, none
     width = LENGTH - GRAM + 1
-    grams = _mix(h.grams(GRAM), 0xD6E8FEB86659FD93)
+    grams = _mix(Hashes(data).grams(GRAM), 0xD6E8FEB86659FD93)
     low_bits = np.uint64((1 << 64 - _BITS) - 1)
     at = (_lowest((grams & ~low_bits) | np.arange(len(grams), dtype=np.uint64), width) & low_bits).astype(np.int64)
     starts = np.arange(len(at))
@@ -132,163 +143,220 @@ def anchors_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     valid = starts + LENGTH <= bounds[text + 1]
     starts, text, at = starts[valid], text[valid], at[valid]
     if not len(starts):
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     new = np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:] - 1, [len(starts) - 1]])
     lo, hi, anchor, own = starts[first], starts[last], at[first], text[first]
-    around = _mix(h.of(lo, hi + LENGTH), 0xA0761D6478BD642F) + _mix(((anchor - lo) * 1024 + (hi - lo)).astype(np.uint64), 0xE7037ED1A0B428DB)
-    return own, lo - bounds[own], hi - bounds[own], grams[anchor].view(np.int64), around.view(np.int64)
+    around = _mix(Hashes(data, 1).of(lo, hi + LENGTH), 0xA0761D6478BD642F) + _mix(((anchor - lo) * 1024 + (hi - lo)).astype(np.uint64), 0xE7037ED1A0B428DB)
+    begin = bounds[own]
+    return own, lo - begin, hi - begin, anchor - begin, grams[anchor].view(np.int64), around.view(np.int64)
 
 
-_SPOT = pa.struct([("id", pa.int64()), ("version", pa.int64()), ("run", pa.int64())])
-RUN_SCHEMA = "id long, version long, key long, around long, run long, more array<struct<id:long,version:long,run:long>>"
-#: Bytes of texts whose equal surroundings are put together before they are dealt out.
-TOGETHER_BYTES = 16_000_000
+# A run of starts, its first and its length, is packed into a number. As a mark (what repeats) a run
+# has up to 4096 starts; with its anchor, up to 128.
+
+def _marks(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (lo << 12) | (n - 1)
+
+
+def _merged(ids: np.ndarray, versions: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, version, mark) of runs, neighbours of one text put together as far as a mark goes."""
+    order = np.lexsort((lo, versions, ids))
+    ids, versions, lo, n = ids[order], versions[order], lo[order], n[order]
+    if not len(ids):
+        return ids, versions, lo
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (versions[1:] != versions[:-1]) | (lo[1:] != (lo + n)[:-1])])
+    first = np.flatnonzero(new)
+    size = np.add.reduceat(n, first)
+    parts = -(-size // 4096)
+    at = np.repeat(first, parts)
+    step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * 4096
+    return ids[at], versions[at], _marks(lo[at] + step, np.minimum(4096, np.repeat(size, parts) - step))
+
+
+def _first_of(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Which of the rows in ``order`` differ from the one before them."""
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+    return new
+
+
+def _alone(*columns: np.ndarray) -> np.ndarray:
+    """A number of its own for each row."""
+    h = np.full(len(columns[0]), 0x2545F4914F6CDD1D, np.uint64)
+    for c in columns:
+        h = _mix(h + c.view(np.uint64), 0x9FB21C651E98DF25)
+    return h.view(np.int64)
+
+
+#: ``again``: known to repeat; such a row is dealt by a number of its own and ``run`` is a mark.
+RUNS = "deal long, key long, around long, hot boolean, again boolean, id long, version long, run long"
+
 
+def _dealt(ids: np.ndarray, versions: np.ndarray, key: np.ndarray, around: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+    """Runs as rows of ``RUNS``: of equal surroundings the first; the others repeat."""
+    order = np.lexsort((lo, versions, ids, around, key))
+    new = _first_of(order, key, around)
+    heads, others = order[new], order[~new]
+    frequent = hot[np.minimum(np.searchsorted(hot, key[heads]), len(hot) - 1)] == key[heads] if len(hot) else np.zeros(len(heads), bool)
+    deal = np.where(frequent, _alone(key[heads], around[heads]), key[heads])
+    run = (lo[heads] << 14) | ((anchor - lo)[heads] << 7) | (hi - lo)[heads]
+    i, v, marks = _merged(ids[others], versions[others], lo[others], (hi - lo)[others] + 1)
+    own = _alone(i, v, marks)
+    columns = [
+        np.concatenate([deal, own]), np.concatenate([key[heads], own]), np.concatenate([around[heads], own]), np.concatenate([frequent, np.zeros(len(i), bool)]),
+        np.repeat([False, True], [len(heads), len(i)]), np.concatenate([ids[heads], i]), np.concatenate([versions[heads], v]), np.concatenate([run, marks]),
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in RUNS.split(", ")])
+
+
+def _runs(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    sent = texts.sparkSession.sparkContext.broadcast(hot)
 
-def _pack(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """A run of starts in one number: its first start, and its length (below 2**12)."""
-    return (lo << 12) | (hi - lo)
-
-
-def _together(rows: list[np.ndarray]) -> pa.RecordBatch:
-    """Runs (id, version, key, around, run) as rows of ``RUN_SCHEMA``: of equal surroundings the first, with the others as ``more``."""
-    ids, version, key, around, run = rows
-    joint = _mix(key.view(np.uint64), 0x9FB21C651E98DF25) + around.view(np.uint64)
-    order = np.argsort(joint, kind="stable")
-    same = np.concatenate([[False], joint[order][1:] == joint[order][:-1]]) if len(order) else np.zeros(0, bool)
-    twice = order[same | np.concatenate([same[1:], [False]])] if len(order) else order
-    alone = np.ones(len(ids), bool)
-    alone[twice] = False
-    # Those that meet again, in order of place within their surroundings.
-    twice = twice[np.lexsort((run[twice], version[twice], ids[twice], around[twice], key[twice]))]
-    new = np.ones(len(twice), bool)
-    new[1:] = (key[twice][1:] != key[twice][:-1]) | (around[twice][1:] != around[twice][:-1])
-    heads, others = twice[new], twice[~new]
-    sizes = np.diff(np.append(np.flatnonzero(new), len(twice))) - 1
-    rest = np.flatnonzero(alone)
-    at = np.concatenate([heads, rest])
-    ends = np.concatenate([[0], np.cumsum(sizes), np.full(len(rest), sizes.sum())]).astype(np.int32)
-    more = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x[others]) for x in (ids, version, run)], fields=list(_SPOT)))
-    return pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in rows), more], ["id", "version", "key", "around", "run", "more"])
-
-
-def _runs(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, versions = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "version"))
             held: list[list[np.ndarray]] = []
             size = 0
             for texts_of, begin, data, bounds in _chunks(b.column("text").to_pylist()):
-                piece, lo, hi, key, around = anchors_of(data, bounds)
-                own, lo, hi = texts_of[piece], lo + begin[piece], hi + begin[piece]
-                held.append([ids[own], versions[own], key, around, _pack(lo, hi)])
+                piece, lo, hi, anchor, key, around = anchors_of(data, bounds)
+                own, before = texts_of[piece], begin[piece]
+                held.append([ids[own], versions[own], key, around, lo + before, hi + before, anchor + before])
                 size += len(data)
                 if size >= TOGETHER_BYTES:
-                    yield _together([np.concatenate(x) for x in zip(*held)])
+                    yield _dealt(*(np.concatenate(x) for x in zip(*held)), sent.value)
                     held, size = [], 0
             if held:
-                yield _together([np.concatenate(x) for x in zip(*held)])
+                yield _dealt(*(np.concatenate(x) for x in zip(*held)), sent.value)
 
-    return texts.mapInArrow(run, RUN_SCHEMA)
+    return texts.mapInArrow(run, RUNS)
 
 
-AROUND_SCHEMA = "key long, id long, version long, run long, bytes binary"
+def frequent_grams(texts: DataFrame, rows: int = SAMPLE_ROWS, least: int = HOT_COUNT) -> np.ndarray:
+    """Sorted grams with at least ``least`` different surroundings in a sample of about ``rows`` documents.
 
+    They are few (each takes ``least`` of the sample's anchors, and no more than ``HOT_MOST`` are
+    returned), and results don't depend on them.
+    """
+    span = 1 << 20
+    share = max(1, min(span, rows * span // max(1, texts.count())))
+    seen = _runs(texts.where(F.pmod(F.xxhash64("id", "version"), F.lit(span)) < share), np.zeros(0, np.int64)).where("not again")
+    found = seen.select("key", "around").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r.key for r in found.orderBy(F.desc("n"), "key").limit(HOT_MOST).collect()], np.int64))
 
-def _surroundings(wanted: DataFrame) -> DataFrame:
-    """The bytes of each text's ``runs`` (key, hot, run): all strings that start in the run."""
+
+def first_round(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(id, version, run, again): marks of what repeats, and the runs that the next round has to tell apart."""
+    of_class, of_gram = ["deal", "key", "around"], Window.partitionBy("deal", "key")
+    ranked = (
+        _runs(texts, hot)
+        .repartition("deal")
+        .withColumn("nth", F.row_number().over(Window.partitionBy(*of_class).orderBy("id", "version", "run")))
+        .withColumn("low", F.min("around").over(of_gram))
+        .withColumn("high", F.max("around").over(of_gram))
+    )
+    repeats = F.col("again") | (F.col("nth") > 1)
+    lo, n = F.shiftright("run", 14), F.col("run").bitwiseAND(127)
+    mark = F.when(F.col("again"), F.col("run")).when(F.col("nth") > 1, F.shiftleft(lo, 12) + n).otherwise(F.col("run"))
+    return ranked.where(repeats | F.col("hot") | (F.col("low") != F.col("high"))).select("id", "version", mark.alias("run"), repeats.alias("again"))
+
+
+def _with_text(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts with their ``runs``; a text is shuffled once however often it is asked for."""
+    return texts.join(wanted.groupBy("id", "version").agg(F.collect_list("run").alias("runs")).hint("shuffle_hash"), ["id", "version"])
+
+
+def _in_parts(b: pd.DataFrame, cut_out) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """(id, version) of rows and what ``cut_out`` makes of text bytes and runs, about ``ROWS_AT_ONCE`` at a time."""
+    ids, versions, rows = [], [], []
+    for i, version, text, runs in zip(b["id"], b["version"], b["text"], b["runs"]):
+        data = text.encode("utf-8", "surrogatepass")
+        for at in range(0, len(runs), ROWS_AT_ONCE):
+            got = cut_out(data, np.asarray(runs[at : at + ROWS_AT_ONCE], np.int64))
+            rows += got
+            ids += [i] * len(got)
+            versions += [version] * len(got)
+            if len(rows) >= ROWS_AT_ONCE:
+                yield np.array(ids, np.int64), np.array(versions, np.int64), rows
+                ids, versions, rows = [], [], []
+    if rows:
+        yield np.array(ids, np.int64), np.array(versions, np.int64), rows
+
+
+def _sides(data: bytes, runs: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """(first start, starts, the 63 bytes that all of them hold) of a run's starts, by the side of the gram they reach to."""
+    out = []
+    for r in runs.tolist():
+        lo, anchor, hi = r >> 14, (r >> 14) + (r >> 7 & 127), (r >> 14) + (r & 127)
+        middle = max(lo, anchor - BESIDE + 1)
+        if middle <= hi:
+            out.append((middle, hi - middle + 1, data[anchor : anchor + GRAM + BESIDE]))
+        if lo < middle:
+            out.append((lo, min(hi + 1, middle) - lo, data[anchor - BESIDE : anchor + GRAM]))
+    return out
+
+
+def second_round(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, version, run) of the starts whose gram and its neighbours on one side are not unique; ``run`` is a mark."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for i, version, text, runs in zip(b["id"], b["version"], b["text"], b["runs"]):
-                data = text.encode("utf-8", "surrogatepass")
-                for r in runs:
-                    lo, size = r["run"] >> 12, r["run"] & 4095
-                    rows.append((r["key"], i, version, r["run"], data[lo : lo + size + LENGTH]))
-            yield pd.DataFrame(rows, columns=["key", "id", "version", "run", "bytes"])
-
-    return wanted.mapInPandas(run, AROUND_SCHEMA)
-
-
-def _halves(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, rank of the first half, rank of the second) of all strings of surroundings."""
-    parts = list(b["bytes"])
-    h = Hashes(np.frombuffer(b"".join(parts), np.uint8))
-    begin = np.cumsum([0] + [len(p) for p in parts])[:-1]
-    packed = b["run"].to_numpy()
-    size = (packed & 4095) + 1
-    row = np.repeat(np.arange(len(b)), size)
-    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    p = begin[row] + step
-    return row, (packed >> 12)[row] + step, _mix(h.of(p, p + HALF), 0x8EBC6AF09C88C6E3), _mix(h.of(p + HALF, p + LENGTH), 0x589965CC75374CC3)
-
-
-def _repeats(b: pd.DataFrame) -> pd.DataFrame:
-    """Runs of the strings of ``b`` that an earlier row or start of the same gram has too; rows are in order within a gram."""
-    row, at, first, second = _halves(b)
-    key = b["key"].to_numpy().view(np.uint64)[row]
-    first = _mix(first + key, 0xC2B2AE3D27D4EB4F)
-    # By the first half: what is unique is done.
-    order = np.argsort(first, kind="stable")
-    ranks = first[order]
-    same = np.concatenate([[False], ranks[1:] == ranks[:-1]])
-    left = np.sort(order[same | np.concatenate([same[1:], [False]])])
-    # By the pair: all but the first of equal ones go.
-    order = left[np.lexsort((left, second[left], first[left]))]
-    again = np.concatenate([[False], (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])]) if len(order) else np.zeros(0, bool)
-    hit = np.sort(order[again])
-    if not len(hit):
-        return pd.DataFrame({"id": [], "version": [], "run": []}, dtype="int64")
-    new = np.concatenate([[True], (row[hit][1:] != row[hit][:-1]) | (at[hit][1:] != at[hit][:-1] + 1)])
-    start = np.flatnonzero(new)
-    stop = np.concatenate([start[1:], [len(hit)]]) - 1
-    rows = row[hit][start]
-    return pd.DataFrame({"id": b["id"].to_numpy()[rows], "version": b["version"].to_numpy()[rows], "run": _pack(at[hit][start], at[hit][stop])})
-
-
-def _repeats_in_tasks(around: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
-        for b in batches:
-            held.append(b)
-            size += len(b)
-            if size >= ROWS_AT_ONCE:
-                every = pd.concat(held, ignore_index=True)
-                keys = every["key"].to_numpy()
-                last = int(np.searchsorted(keys, keys[-1]))  # the last gram may go on
-                if last:
-                    yield _repeats(every.iloc[:last])
-                held, size = [every.iloc[last:]], len(every) - last
-        if size:
-            yield _repeats(pd.concat(held, ignore_index=True))
-
-    dealt = around.select("key", "id", "version", "run", "bytes").repartition("key").sortWithinPartitions("key", "id", "version", "run")
-    return dealt.mapInPandas(run, "id long, version long, run long")
-
-
-def _repeats_spread(around: DataFrame) -> DataFrame:
+            for ids, versions, rows in _in_parts(b, _sides):
+                lo, n, parts = zip(*rows)
+                data = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, GRAM + BESIDE)
+                rank = np.zeros(len(rows), np.uint64)
+                for k in range(GRAM + BESIDE):
+                    rank = (rank + data[:, k] + np.uint64(1)) * _BASES[1]
+                rank = _mix(rank, 0x8EBC6AF09C88C6E3).view(np.int64)
+                marks = _marks(np.array(lo, np.int64), np.array(n, np.int64))
+                # Of ranks met twice here, one asks on; all of them are known to stay.
+                order = np.argsort(rank, kind="stable")
+                new = _first_of(order, rank)
+                known = np.zeros(len(rows), bool)
+                known[order] = ~new | np.append(~new[1:], False)
+                rank[order[~new]] = _alone(ids, versions, marks)[order[~new]]
+                yield pd.DataFrame({"rank": rank, "known": known, "id": ids, "version": versions, "run": marks})
+
+    ranks = _with_text(texts, wanted).mapInPandas(run, "rank long, known boolean, id long, version long, run long")
+    return ranks.withColumn("n", F.count("*").over(Window.partitionBy("rank"))).where("known or n > 1").select("id", "version", "run")
+
+
+def _strings(data: bytes, runs: np.ndarray) -> list[tuple[int, int, bytes]]:
+    return [(r >> 12, (r & 4095) + 1, data[r >> 12 : (r >> 12) + (r & 4095) + LENGTH]) for r in runs.tolist()]
+
+
+def third_round(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, version, run) of the starts in ``wanted`` whose string starts earlier, too; ``run`` is a mark."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                row, at, first, second = _halves(b)
-                yield pd.DataFrame({"id": b["id"].to_numpy()[row], "version": b["version"].to_numpy()[row], "at": at, "rank": first.view(np.int64), "next": second.view(np.int64)})
-
-    at = around.select("id", "version", "run", "bytes").mapInPandas(run, "id long, version long, at long, rank long, next long")
-    # A hot rank is counted in parts before it meets; only first places travel on.
-    spot = F.struct("id", "version", "at")
-    once = at.groupBy("rank", "next").agg(F.min(spot).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("rank").alias("r"), F.col("next").alias("s"), "first")
-    return at.join(once, (F.col("rank") == F.col("r")) & (F.col("next") == F.col("s"))).where(spot != F.col("first")).select("id", "version", F.shiftleft("at", 12).alias("run"))
+            for ids, versions, rows in _in_parts(b, _strings):
+                lo, n, parts = (np.array(x, np.int64) if k < 2 else x for k, x in enumerate(zip(*rows)))
+                begin = np.cumsum([0] + [len(p) for p in parts])[:-1]
+                h = Hashes(np.frombuffer(b"".join(parts), np.uint8))
+                row = np.repeat(np.arange(len(rows)), n)
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                p, at, i, v = begin[row] + step, lo[row] + step, ids[row], versions[row]
+                rank = _mix(h.of(p, p + HALF), 0x8EBC6AF09C88C6E3).view(np.int64)
+                rest = _mix(h.of(p + HALF, p + LENGTH), 0x589965CC75374CC3).view(np.int64)
+                order = np.lexsort((at, v, i, rest, rank))
+                new = _first_of(order, rank, rest)
+                heads, others = order[new], order[~new]
+                yield pd.DataFrame({"rank": rank[heads], "next": rest[heads], "again": False, "id": i[heads], "version": v[heads], "run": at[heads] << 12})
+                i, v, marks = _merged(i[others], v[others], at[others], np.ones(len(others), np.int64))
+                yield pd.DataFrame({"rank": _alone(i, v, marks), "next": np.int64(0), "again": True, "id": i, "version": v, "run": marks})
+
+    pairs = _with_text(texts, wanted).mapInPandas(run, "rank long, next long, again boolean, id long, version long, run long")
+    equal = Window.partitionBy("rank", "next").orderBy("id", "version", "run")
+    return pairs.withColumn("nth", F.row_number().over(equal)).where("again or nth > 1").select("id", "version", "run")
 
 
 OUT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def cover(n: int, runs: np.ndarray) -> np.ndarray:
-    """Which of ``n`` bytes the strings of the packed runs cover."""
+    """Which of ``n`` bytes the strings of the marked runs cover."""
     edge = np.zeros(n + 1, np.int32)
     if len(runs):
         np.add.at(edge, runs >> 12, 1)
@@ -316,30 +384,10 @@ def _removed(marked: DataFrame) -> DataFrame:
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
-    """(id, version, run) of all strings in ``texts`` (id, version, text) that also start earlier."""
-    by_key, by_class = Window.partitionBy("key"), Window.partitionBy("key", "around")
-    place: Column = F.struct("id", "version", "run")
-    ranked = (
-        _runs(texts)
-        .withColumn("low", F.min("around").over(by_key))
-        .withColumn("high", F.max("around").over(by_key))
-        .withColumn("hot", F.count("*").over(by_key) > HOT_ROWS)
-        .withColumn("first", F.min(place).over(by_class))
-    )
-    # What repeats as a whole (without a key) and what is to be ranked, as one list: both are
-    # read from the same shuffle.
-    first = place == F.col("first")
-    mark = lambda spot, key: F.struct(spot["id"].alias("id"), spot["version"].alias("version"), spot["run"].alias("run"), key.alias("key"), F.col("hot").alias("hot"))
-    again = F.transform(F.when(first, F.col("more")).otherwise(F.concat(F.array(place), F.col("more"))), lambda r: mark(r, F.lit(None).cast("long")))
-    asked = F.array(mark(place, F.when(first & (F.col("low") != F.col("high")), F.col("key"))))
-    marks = ranked.select(F.explode(F.concat(again, F.filter(asked, lambda m: m.key.isNotNull()))).alias("m")).select("m.*")
-    whole = marks.where("key is null").select("id", "version", "run")
-    wanted = marks.where("key is not null").groupBy("id", "version").agg(F.collect_list(F.struct("key", "hot", "run")).alias("runs"))
-    # All of it is one plan: texts, anchors and runs are shuffled once each and read again.
-    cold, hot = (wanted.withColumn("runs", F.filter("runs", f)).where(F.size("runs") > 0).hint("shuffle_hash") for f in (lambda r: ~r.hot, lambda r: r.hot))
-    parts = _repeats_in_tasks(_surroundings(texts.join(cold, ["id", "version"])))
-    spread = _repeats_spread(_surroundings(texts.join(hot, ["id", "version"])))
-    return whole.unionByName(parts).unionByName(spread)
+    """(id, version, run) of all strings in ``texts`` (id, version, text) that also start earlier; ``run`` is a mark."""
+    ranked = cut(first_round(texts, frequent_grams(texts)))
+    left = second_round(texts, ranked.where("not again"))
+    return ranked.where("again").select("id", "version", "run").unionByName(third_round(texts, left))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
