@@ -54,7 +54,7 @@ PIECE_BYTES = 2_000_000
 #: Bytes of texts whose equal strings are put together before they are dealt out.
 TOGETHER_BYTES = 16_000_000
 #: Strings hashed together in the later rounds.
-ROWS_AT_ONCE = 50_000
+ROWS_AT_ONCE = 12_000
 #: Documents of the sample that frequent grams are found in, least number of their surroundings there, and most grams.
 SAMPLE_ROWS, HOT_COUNT, HOT_MOST = 20_000, 20, 100_000
 _BASES = np.array([0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F], np.uint64)
