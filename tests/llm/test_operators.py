@@ -233,6 +233,25 @@ def test_near_duplicates(spark, monkeypatch, n, percent, chunk):
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_texts_of_dissimilar_bucket_mates_are_not_sent(spark, monkeypatch):
+    """Half of each text is the same, so buckets chain them all; a few are similar indeed."""
+    rng = random.Random(61)
+    base = words(rng, 60, 3000)
+    rows = [(i, f"{base} {words(rng, 40, 3000)}") for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(5)]
+    sent = []
+    real = minhash._connect
+
+    def spy(placed, signed, texts, n, percent):
+        sent.append((texts is not None, placed.select("id").distinct().count()))
+        return real(placed, signed, texts, n, percent)
+
+    monkeypatch.setattr(minhash, "_connect", spy)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(spark, rows), 3, 85).collect()}
+    assert got == brute_components(rows, 3, 85)
+    assert sent[0][0] is False and sent[0][1] > 200 and sent[1] == (True, 10)
+
+
 def test_one_of_each(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (3, "a b c d e f"), (8, "other words in this text here"), (None, "a b c d e f"), (9, None)]
     df = docs(spark, rows)

@@ -1,19 +1,25 @@
 """Near-duplicates by MinHash bands with sequential Bayesian verification.
 
-Documents with equal shingle sets are one class, spoken for by its smallest id. Classes that meet
-in a band form candidate clusters (components of bucket stars, so a bucket costs as many rows as
-it has members). A cluster's texts meet in one task, or in several chunks of bounded size: there,
-signatures of pairs that share a band are compared batch by batch; a pair is dropped when the
-posterior probability that it is similar enough falls below ``MISS``; survivors are verified on
-their full sets. Pairs that are already connected are not compared.
-
-A cluster of several chunks takes two rounds. First every chunk is solved with a few common
-members in each. Then what is still outside of the cluster's largest component is compared with
-the members of all other chunks; those of the largest component need no comparison with each other.
-So no link between components is lost, and a large group of copies costs little more than its rows.
-
-With 32 bands of 5 rows, a pair at the threshold of 0.85 (0.8) shares no band with a probability
-of 7e-9 (3e-6).
+Documents with equal shingle sets are one class, spoken for by its smallest id. Two levels find the
+links between classes:
+
+1. Members of a band's bucket are compared by their signatures, batch by batch; a pair is dropped
+   when the posterior probability that it is similar enough falls below ``MISS``. Ids and
+   signatures travel, no texts. Of the pairs left, as many are kept as connect what is connected.
+2. What these pairs connect is a cluster. Its texts meet in one task, or in several chunks of
+   bounded size; pairs are pruned by the same bounds, and survivors are verified on their full sets.
+   Pairs that are already connected are not compared.
+
+Dissimilar texts that share a bucket, or are chained through buckets of others, end at the first
+level: their texts are not sent at all. A bucket or cluster of several chunks takes two rounds.
+First every chunk is solved with a few common members in each. Then what is still outside of the
+group's largest component visits the other chunks: as signatures, and as texts only where the
+bounds leave a member that it could be linked with. Members of the largest component need no
+comparison with each other. So no link between components is lost, a large group of copies costs
+little more than its rows, and a task holds one chunk and some visitors at a time.
+
+Sets are of 64-bit hashes of shingles: "full sets" are sets of these. With 32 bands of 5 rows, a
+pair at the threshold of 0.85 (0.8) shares no band with a probability of 7e-9 (3e-6).
 
 Defined cases: a null text or one without words has no shingles and is linked with nothing; rows
 with one ``doc_id`` are one document; a null ``doc_id`` is linked with nothing, its component is
@@ -39,8 +45,8 @@ BANDS, ROWS, BATCH = 32, 5, 16
 HASHES = BANDS * ROWS
 #: Chosen probability of dropping a pair that is similar enough.
 MISS = 1e-7
-#: Members and shingles of a chunk, and common members of a cluster's chunks.
-CHUNK_MEMBERS, CHUNK_SHINGLES, HUBS = 3000, 1_500_000, 32
+#: Members and shingles of a chunk, common members of a group's chunks, and visitors held at a time.
+CHUNK_MEMBERS, CHUNK_SHINGLES, HUBS, VISITORS = 3000, 1_500_000, 32, 500
 CHUNK_CHARS = 4_000_000
 
 _WORD = re.compile(WORD)
@@ -79,11 +85,11 @@ def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """``HASHES`` 32-bit minima."""
+    """``HASHES`` minima, 16 bits of each: two different minima look equal once in 65,536 times."""
     low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(s), 512):
         low = np.minimum(low, (s[at : at + 512, None] * _A + _B).min(axis=0))
-    return (low >> np.uint64(32)).astype(np.uint32)
+    return (_mix(low) >> np.uint64(48)).astype(np.uint16)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -112,7 +118,7 @@ def similar(a: int, b: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
-SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, set_key binary, signature binary"
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
@@ -127,135 +133,216 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                     chars += len(texts[end])
                     end += 1
                 for s in shingle_sets(texts[start:end], n):
-                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(signature(s)) if len(s) else np.zeros(0, np.int64)))
+                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s).tobytes() if len(s) else b""))
                 start = end
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands"])
+            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "signature"])
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, SKETCH)
 
 
-class Cluster:
-    """Solves one chunk: finds enough links to connect what is connected."""
+def bucket_cells(classes: DataFrame) -> DataFrame:
+    """(id, bucket) of ``classes`` (id, signature), a row for each band."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        band = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for b in batches:
+            if len(b):
+                keys = band_keys(_signatures(b["signature"])).view(np.uint64)
+                yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), BANDS), "bucket": _mix(keys + band).view(np.int64).ravel()})
+
+    return classes.select("id", "signature").mapInPandas(run, "id long, bucket long")
+
 
-    def __init__(self, ids: np.ndarray, texts: list[str], label: np.ndarray, query: np.ndarray, n: int, percent: int):
-        self.ids, self.percent, self.query = ids, percent, query
-        self.sets = shingle_sets(texts, n)
-        self.size = np.array([len(s) for s in self.sets])
-        self.sig = np.array([signature(s) for s in self.sets])
-        self.bands = band_keys(self.sig)
-        _, self.root = np.unique(label, return_inverse=True)
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, HASHES)
+
+
+class Chunk:
+    """Members that are compared with each other or with visitors; ``label`` says what is connected already.
+
+    Pairs whose signatures the bounds don't rule out are linked; with ``texts``, those that are
+    similar on their full sets.
+    """
+
+    def __init__(self, ids: np.ndarray, label: np.ndarray, size: np.ndarray, sig: np.ndarray, sets: list[np.ndarray] | None, percent: int):
+        self.ids, self.label, self.size, self.sig, self.sets, self.percent = ids, label.copy(), size, sig, sets, percent
         self.limits = least_matches(percent)
         self._lists = None
 
-    def _intersections(self, i: int, js: np.ndarray) -> np.ndarray:
+    def _intersections(self, own: np.ndarray, js: np.ndarray) -> np.ndarray:
         if len(js) <= 8:
-            return np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for j in js])
+            return np.array([len(np.intersect1d(own, self.sets[j], assume_unique=True)) for j in js])
         if self._lists is None:
             every = np.concatenate(self.sets)
             owner = np.repeat(np.arange(len(self.sets)), self.size)
             order = np.argsort(every, kind="stable")
             self._lists = every[order], owner[order]
         keys, owners = self._lists
-        lo, hi = np.searchsorted(keys, self.sets[i], "left"), np.searchsorted(keys, self.sets[i], "right")
+        lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
         n = hi - lo
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         return np.bincount(owners[at], minlength=len(self.sets))[js]
 
-    def links(self, across: bool) -> list[tuple[int, int]]:
-        """With ``across``, only pairs of a query member and another are compared."""
-        out, m = [], len(self.ids)
-        every = np.arange(m)
-        for i in every[self.query] if across else every:
-            js = every[~self.query] if across else every[i + 1 :]
-            js = js[self.root[js] != self.root[i]]
-            # Sizes alone rule out the most unequal pairs.
-            a, b = np.minimum(self.size[js], self.size[i]), np.maximum(self.size[js], self.size[i])
-            js = js[100 * a >= self.percent * b]
-            js = js[(self.bands[js] == self.bands[i]).any(axis=1)] if len(js) else js
-            matches = np.zeros(len(js), int)
-            for end, least in self.limits:
-                if not len(js):
-                    break
-                matches += (self.sig[js, end - BATCH : end] == self.sig[i, end - BATCH : end]).sum(axis=1)
-                go = matches >= least
-                js, matches = js[go], matches[go]
-            # The most similar first; what becomes connected on the way is skipped.
-            js = js[np.argsort(-matches, kind="stable")]
-            while len(js):
-                part, js = js[:64], js[64:]
-                both = self._intersections(i, part)
-                for j, k in zip(part, both):
-                    if self.root[j] != self.root[i] and similar(int(self.size[i]), int(self.size[j]), int(k), self.percent):
-                        out.append((int(self.ids[i]), int(self.ids[j])))
-                        self.root[self.root == self.root[j]] = self.root[i]
-                js = js[self.root[js] != self.root[i]]
-        return out
-
-
-def _solve(members: DataFrame, n: int, percent: int, across: bool) -> DataFrame:
-    """Links (a, b) of ``members`` (cluster, chunk, id, label, query, text), chunk by chunk."""
+    def _possible(self, js: np.ndarray, label: int, size: int, sig: np.ndarray) -> np.ndarray:
+        """Of members ``js``, those outside of ``label`` that the bounds don't rule out, the most similar first."""
+        js = js[self.label[js] != label]
+        # Sizes alone rule out the most unequal pairs.
+        a, b = np.minimum(self.size[js], size), np.maximum(self.size[js], size)
+        js = js[100 * a >= self.percent * b]
+        matches = np.zeros(len(js), int)
+        for end, least in self.limits:
+            if not len(js):
+                break
+            matches += (self.sig[js, end - BATCH : end] == sig[end - BATCH : end]).sum(axis=1)
+            go = matches >= least
+            js, matches = js[go], matches[go]
+        return js[np.argsort(-matches, kind="stable")]
+
+    def links(self, js: np.ndarray, id_: int, label: int, size: int, sig: np.ndarray, own: np.ndarray | None) -> Iterator[tuple[int, int]]:
+        """Links of one member or visitor with members ``js``; what becomes connected on the way is skipped."""
+        js = self._possible(js, label, size, sig)
+        while len(js):
+            part, js = js[:64], js[64:]
+            both = None if own is None else self._intersections(own, part)
+            for k, j in enumerate(part):
+                if self.label[j] != label and (own is None or similar(size, int(self.size[j]), int(both[k]), self.percent)):
+                    yield int(id_), int(self.ids[j])
+                    self.label[self.label == self.label[j]] = label
+            js = js[self.label[js] != label]
+
+    def inner(self) -> Iterator[tuple[int, int]]:
+        every = np.arange(len(self.ids))
+        for i in every[:-1]:
+            yield from self.links(every[i + 1 :], self.ids[i], self.label[i], int(self.size[i]), self.sig[i], self.sets and self.sets[i])
+
+
+def _solve(members: DataFrame, n: int, percent: int, visits: str | None = None) -> DataFrame:
+    """Links (a, b) in the chunks of ``members`` (group, chunk, id, label, visitor, and size and signature, or text).
+
+    With ``visits``, visitors are compared with members: ``links`` gives their links, ``asks`` the
+    (id, chunk) of visitors that the bounds leave a possible link.
+    """
+    exact = "text" in members.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solved(group: pd.DataFrame) -> list[tuple[int, int]]:
-            if len(group) < 2 or across and not group["query"].any():
-                return []
-            return Cluster(group["id"].to_numpy(), list(group["text"]), group["label"].to_numpy(), group["query"].to_numpy(bool), n, percent).links(across)
-
+        chunk: Chunk | None = None
         held: list[pd.DataFrame] = []
+        out: list[tuple[int, int]] = []
+        now: tuple[int, int] | None = None
+        was_visitor = False
+
+        def arrays(rows: list[pd.DataFrame]) -> tuple:
+            b = pd.concat(rows, ignore_index=True)
+            if not exact:
+                return b["id"].to_numpy(), b["label"].to_numpy(), b["size"].to_numpy(), _signatures(b["signature"]), None
+            sets = shingle_sets(list(b["text"]), n)
+            return b["id"].to_numpy(), b["label"].to_numpy(), np.array([len(x) for x in sets]), np.array([signature(x) for x in sets]), sets
+
+        def settle(visitors: bool) -> None:
+            """Members that are all here, or visitors, are compared."""
+            nonlocal chunk, held
+            if not held:
+                return
+            rows, held = held, []
+            if not visitors:
+                if sum(map(len, rows)) > 1 or visits:
+                    chunk = Chunk(*arrays(rows), percent)
+                    if not visits:
+                        out.extend(chunk.inner())
+            elif chunk is not None:
+                every = np.arange(len(chunk.ids))
+                ids, labels, sizes, sigs, sets = arrays(rows)
+                for i, id_ in enumerate(ids):
+                    if visits == "asks":
+                        if len(chunk._possible(every, labels[i], int(sizes[i]), sigs[i])):
+                            out.append((int(id_), now[1]))
+                    else:
+                        out.extend(chunk.links(every, id_, labels[i], int(sizes[i]), sigs[i], sets and sets[i]))
+
         for b in batches:
-            key = b["cluster"].to_numpy(), b["chunk"].to_numpy()
-            cuts = [0, *(np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1), len(b)]
-            out: list[tuple[int, int]] = []
-            for x, y in zip(cuts, cuts[1:]):
-                part = b.iloc[x:y]
-                if held and (part["cluster"].iloc[0] != held[0]["cluster"].iloc[0] or part["chunk"].iloc[0] != held[0]["chunk"].iloc[0]):
-                    out += solved(pd.concat(held))
-                    held = []
-                held.append(part)
+            key = b["group"].to_numpy(), b["chunk"].to_numpy(), b["visitor"].to_numpy(bool)
+            new = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])) + 1
+            for x, y in zip([0, *new], [*new, len(b)]):
+                own, visitor = (int(key[0][x]), int(key[1][x])), bool(key[2][x])
+                if own != now or visitor != was_visitor:
+                    settle(now is not None and was_visitor)
+                    if own != now:
+                        chunk = None
+                now, was_visitor = own, visitor
+                for at in range(x, y, VISITORS):
+                    held.append(b.iloc[at : min(y, at + VISITORS)])
+                    if visitor and sum(map(len, held)) >= VISITORS:
+                        settle(True)
+            yield pd.DataFrame(out, columns=["a", "b"])
+            out.clear()
+        if now is not None:
+            settle(was_visitor)
             yield pd.DataFrame(out, columns=["a", "b"])
-        if held:
-            yield pd.DataFrame(solved(pd.concat(held)), columns=["a", "b"])
 
-    dealt = members.select("cluster", "chunk", "id", "label", "query", "text").repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "id")
+    payload = ["text"] if exact else ["size", "signature"]
+    dealt = members.select("group", "chunk", "visitor", "id", "label", *payload).repartition("group", "chunk").sortWithinPartitions("group", "chunk", "visitor", "id")
     return dealt.mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
-    sketch = cut(sketches(docs, n))
-    classes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
-    classes = cut(classes)
-    cells = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = cells.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
-    stars = cells.join(shared, ["band", "key"]).select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    clusters = components(stars).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    sized = clusters.join(classes.groupBy("id").agg(F.sum("size").alias("size")), "id")
-    chunks = F.greatest(F.ceil(F.count("*") / CHUNK_MEMBERS), F.ceil(F.sum("size") / CHUNK_SHINGLES)).cast("int")
-    count = sized.groupBy("cluster").agg(chunks.alias("chunks"), F.count("*").alias("members"))
-    placed = cut(clusters.join(count, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")))
+def _in_chunks(members: DataFrame, count: DataFrame) -> DataFrame:
+    """``members`` (group, id) with ``count`` (group, chunks, members) and the chunk of each."""
+    return members.join(count, "group").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    def with_text(rows: DataFrame) -> DataFrame:
-        """Rows for every chunk in ``at``; the text is looked up once for each member."""
-        return rows.join(texts, "id").withColumn("chunk", F.explode("at")).drop("at")
+def _connect(placed: DataFrame, signed: DataFrame, texts: DataFrame | None, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is connected in each group of ``placed`` (group, id, chunk, chunks, members)."""
+
+    def solve(rows: DataFrame, exact: bool, visits: str | None = None) -> DataFrame:
+        # A text or signature is looked up once for a row, however many chunks the row goes to.
+        full = rows.join(texts if exact else signed, "id").withColumn("chunk", F.explode("at")).drop("at")
+        return _solve(full.withColumn("visitor", F.col("chunk") != F.col("own")) if visits else full, n, percent, visits)
 
+    exact = texts is not None
     hub = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("members") / HUBS))) == 0)
-    everywhere = F.sequence(F.lit(0), F.col("chunks") - 1)
-    first = placed.withColumn("at", F.when(hub, everywhere).otherwise(F.array("chunk"))).withColumn("label", F.col("id")).withColumn("query", F.lit(False))
-    links = cut(_solve(with_text(first.drop("chunk")), n, percent, False))
+    everywhere = F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))
+    first = placed.withColumn("at", F.when(hub, everywhere).otherwise(F.array("chunk"))).withColumn("label", F.col("id")).withColumn("visitor", F.lit(False))
+    links = cut(solve(first.drop("chunk"), exact))
     large = placed.where("chunks > 1")
-    if not large.isEmpty():
-        labels = components(links)
-        named = cut(large.join(labels, large.id == labels.node, "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component"))
-        most = named.groupBy("cluster", "label").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "label")).alias("m")).select("cluster", F.col("m.label").alias("main"))
-        out = named.join(most, "cluster").withColumn("outside", F.col("label") != F.col("main"))
-        both = out.withColumn("at", F.when(F.col("outside"), everywhere).otherwise(F.array("chunk"))).withColumnRenamed("chunk", "own")
-        rows = with_text(both).withColumn("query", F.col("chunk") != F.col("own"))
-        links = cut(links.unionByName(_solve(rows, n, percent, True)))
-    return _named(sketch, classes, components(links))
+    if large.isEmpty():
+        return links
+    labels = components(links)
+    named = cut(large.join(labels, large.id == labels.node, "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component"))
+    most = named.groupBy("group", "label").agg(F.count("*").alias("k")).groupBy("group").agg(F.max(F.struct("k", "label")).alias("m")).select("group", F.col("m.label").alias("main"))
+    rows = named.join(most, "group").withColumn("outside", F.col("label") != F.col("main")).withColumnRenamed("chunk", "own")
+    visitors = rows.where("outside").withColumn("at", F.array_except(everywhere, F.array("own")))
+    hosts = rows.withColumn("at", F.array("own"))
+    if exact:
+        asks = solve(visitors.unionByName(hosts), False, "asks").select(F.col("a").alias("id"), F.col("b").cast("int").alias("to"))
+        asks = cut(asks.groupBy("id").agg(F.collect_set("to").alias("at")))
+        visitors = visitors.drop("at").join(asks, "id")
+        visited = asks.select(F.explode("at").alias("own"), "id").join(rows.select("id", "group"), "id").select("group", "own").distinct()
+        hosts = hosts.join(visited, ["group", "own"], "left_semi")
+    return cut(links.unionByName(solve(visitors.unionByName(hosts.select(*visitors.columns)), exact, "links")))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+    sketch = cut(sketches(docs, n))
+    classes = (
+        sketch.where("n_shingles > 0 and doc_id is not null")
+        .groupBy("set_key")
+        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature"))
+    )
+    classes = cut(classes)
+    cells = bucket_cells(classes)
+    buckets = cells.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").withColumn("chunks", F.ceil(F.col("members") / CHUNK_MEMBERS))
+    # An id whose rows have different texts stands for several classes: each of them is compared.
+    signed = classes.select("id", "size", "signature")
+    placed = _in_chunks(cells.withColumnRenamed("bucket", "group"), buckets.withColumnRenamed("bucket", "group"))
+    close = components(_connect(cut(placed.distinct()), signed, None, n, percent))
+    clusters = close.select(F.col("component").alias("group"), F.col("node").alias("id"))
+    size = clusters.join(classes.groupBy("id").agg(F.sum("size").alias("size")), "id")
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK_MEMBERS), F.ceil(F.sum("size") / CHUNK_SHINGLES))
+    placed = cut(_in_chunks(clusters, size.groupBy("group").agg(chunks.alias("chunks"), F.count("*").alias("members"))))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return _named(sketch, classes, components(_connect(placed, signed, texts, n, percent)))
 
 
 def _named(sketch: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
