@@ -96,6 +96,7 @@ def test_chat_reads_back(spark):
         for t in range(rng.randrange(1, 25)):
             role = "system" if t == 0 and c % 2 else rng.choice(["user", "assistant"])
             rows.append((c, t, role, rng.choice([None, "", words(rng, rng.randrange(200)), "</s>[INST] ok [/INST]", "<|end|>\n<|turn|>assistant\nhi \\<\\|", "\\n\n\\"]), "x"))
+    rows += [(70, t, "system" if t < 2 else "user", f"{t} " + "word " * (300 if t < 2 else 40), "x") for t in range(60)]
     rows += [(77, 0, "user", "long " * 3000, "x"), (77, 1, "assistant", "y " * 3000, "x"), (78, 0, None, "r", "x"), (None, 0, "assistant", "z", "x"), (79, 1, "assistant", "b", "x"), (79, 1, "assistant", "b", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window string")
     made = chat.windows(df)
@@ -113,7 +114,14 @@ def test_chat_reads_back(spark):
     assert sum(len(w.text) for w in wins) == sum(r.formatted_chars for r in back.values())
     many = [w for w in wins if w.window > 0]
     assert many and all(w.n_tokens <= chat.BUDGET or sum(new for new, *_ in chat.parse(w.text)) == 1 for w in wins)
-    assert all(chat.parse(w.text)[0][1:] == by[w.conv_id][0] for w in many if by[w.conv_id][0][0] == "system" and len(by[w.conv_id][0][1]) < 500)
+    ids = tokens.encoder(tokens.vocabulary_path())
+    assert all(w.n_tokens == len(ids.whole(w.text)) // 4 for w in wins)  # of the window as a whole
+    for w in many:
+        lead = [t for t in by[w.conv_id]]
+        lead = lead[: next((i for i, t in enumerate(lead) if t[0] != "system"), len(lead))]
+        assert [t[1:] for t in chat.parse(w.text)[: len(lead)]] == lead
+    past = [sum(not new for new, *_ in chat.parse(w.text)) for w in many]
+    assert max(past) > 2
     assert chat.read_back(chat.windows(df.limit(0))).collect() == []
 
 

@@ -1,28 +1,33 @@
 """Chat formatting in budgeted windows of whole turns.
 
-A conversation is cut into windows by the running sums of its turns' tokens: a window starts with
-the system turns, repeats the latest turns up to ``history`` tokens, and takes new turns while the
-sum stays within ``budget``. Only new assistant turns are under the loss mask; repeated turns are
-marked as such in the text, so that the conversation can be read back from its windows.
+A conversation is cut into windows by prefix sums of its turns' tokens: a window starts with the
+leading system turns, repeats the latest turns up to ``history`` tokens, and takes new turns while
+the sum stays within ``budget``. A turn's tokens are those of the turn as it is rendered, markers and
+escapes included; turns begin and end where the tokenizer cuts, so they add up to the window's.
+Only new assistant turns are under the loss mask; repeated turns are marked as such in the text, so
+that the conversation can be read back from its windows.
 
 Turns are ``<|turn|>`` or ``<|past|>``, role, newline, text, ``<|end|>``, newline. In roles and texts
 a backslash is doubled and ``<|`` becomes ``<\\|``, so that no control string can stand in them; a
 newline in a role becomes ``\\n``.
 
 Conversations are dealt by their id, sorted, and streamed: a worker holds one window, its history
-and running digests, never a whole conversation.
+and running digests, never a whole conversation. The windows of one conversation follow from one
+another, so a conversation is the work of one task, however long it is.
 
 Defined cases: a null text or role is empty; turns are ordered by turn (null first), role and text,
-and repeated rows are turns of their own; a null ``conv_id`` is one conversation; a turn above the
-budget is a window by itself, over the budget, never cut; a system turn above half of the budget is
-not repeated; an empty table gives an empty result; other columns are ignored.
+and repeated rows are turns of their own; a null ``conv_id`` is one conversation; every leading
+system turn is repeated in every window; a window over the budget holds those and one new turn,
+which is never cut; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +38,6 @@ from .tokens import encoder, vocabulary_path
 
 BUDGET, HISTORY = 1024, 256
 NEW, PAST, END = "<|turn|>", "<|past|>", "<|end|>\n"
-#: Tokens that a turn's markers count as.
-FRAME_TOKENS = 4
 WINDOWS = "conv_id long, window long, text string, loss array<struct<start:int,end:int>>, n_tokens long"
 _TURN = re.compile(r"<\|(turn|past)\|>(.*?)\n(.*?)<\|end\|>\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
@@ -52,49 +55,70 @@ def escape_role(role: str) -> str:
     return escape(role).replace("\n", "\\n")
 
 
+def render(mark: str, role: str, text: str) -> tuple[str, str]:
+    """The head of a turn, and its escaped text."""
+    return f"{mark}{escape_role(role)}\n", escape(text)
+
+
+class Turn(NamedTuple):
+    role: str
+    text: str
+    #: Tokens when new, when repeated, and of all repeated turns up to this one.
+    new: int
+    past: int
+    upto: int
+
+
 class Windower:
     """Makes the windows of one conversation, turn by turn."""
 
     def __init__(self, count, budget: int = BUDGET, history: int = HISTORY):
         self.count, self.budget, self.history = count, budget, history
-        self.system: list[tuple[str, str, int]] = []
-        self.past: list[tuple[str, str, int]] = []
-        self.new: list[tuple[str, str, int]] = []
-        self.opening, self.window = True, 0
+        self.system: list[Turn] = []
+        self.past: deque[Turn] = deque()
+        self.new: list[Turn] = []
+        #: Whether all turns so far are system turns, and whether they were when the window began.
+        self.opening, self.leads, self.window = True, True, 0
+        #: Prefix sums: of the turns as new ones and as repeated ones, at the window's first new turn and now.
+        self.at_start = self.at_now = self.upto = self.system_tokens = 0
+
+    def _held(self) -> int:
+        """Tokens of the repeated turns of the window."""
+        past = self.past[-1].upto - self.past[0].upto + self.past[0].past if self.past else 0
+        return past + (self.system_tokens if self.window else 0)
 
     def add(self, role: str, text: str) -> Iterator[tuple]:
-        turn = (role, text, self.count(role) + self.count(text) + FRAME_TOKENS)
-        held = sum(t[2] for t in self.system) if self.window else 0
-        if self.new and held + sum(t[2] for t in self.past) + sum(t[2] for t in self.new) + turn[2] > self.budget:
+        new, past = (self.count("".join(render(mark, role, text)) + END) for mark in (NEW, PAST))
+        self.upto += past
+        turn = Turn(role, text, new, past, self.upto)
+        if self.new and self._held() + self.at_now - self.at_start + new > self.budget:
             yield self.close()
-            held = sum(t[2] for t in self.system)
             # The history gives way before a new turn goes over the budget.
-            while self.past and held + sum(t[2] for t in self.past) + turn[2] > self.budget:
-                self.past.pop(0)
-        if self.opening and role == "system":
-            if 2 * (sum(t[2] for t in self.system) + turn[2]) <= self.budget:
-                self.system.append(turn)
-        else:
-            self.opening = False
+            while self.past and self._held() + new > self.budget:
+                self.past.popleft()
+        self.opening &= role == "system"
         self.new.append(turn)
+        self.at_now += new
 
     def close(self) -> tuple:
         text, loss, at = [], [], 0
         shown = [(PAST, t) for t in (self.system if self.window else [])] + [(PAST, t) for t in self.past] + [(NEW, t) for t in self.new]
-        for mark, (role, body, _) in shown:
-            head, body = f"{mark}{escape_role(role)}\n", escape(body)
-            if mark == NEW and role == "assistant":
+        for mark, t in shown:
+            head, body = render(mark, t.role, t.text)
+            if mark == NEW and t.role == "assistant":
                 loss.append((at + len(head), at + len(head) + len(body)))
             text += [head, body, END]
             at += len(head) + len(body) + len(END)
-        out = (self.window, "".join(text), loss, sum(t[2] for _, t in shown))
-        tail, size = [], 0
-        for t in reversed(self.past + self.new):
-            size += t[2]
-            if size > self.history or t in self.system:
-                break
-            tail.append(t)
-        self.past, self.new, self.window = tail[::-1], [], self.window + 1
+        out = (self.window, "".join(text), loss, self._held() + self.at_now - self.at_start)
+        # Leading system turns come with every window, so they are no history.
+        leading = len(self.new) if self.opening else next((i for i, t in enumerate(self.new) if t.role != "system"), 0) if self.leads else 0
+        self.system += self.new[:leading]
+        self.system_tokens += sum(t.past for t in self.new[:leading])
+        self.leads = self.opening
+        self.past.extend(self.new[leading:])
+        while self.past and self.past[-1].upto - self.past[0].upto + self.past[0].past > self.history:
+            self.past.popleft()
+        self.new, self.at_start, self.window = [], self.at_now, self.window + 1
         return out
 
 
