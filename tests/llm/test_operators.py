@@ -299,22 +299,53 @@ def test_codecs():
     assert sorted(set(map(abs, audio.TABLES["alaw"].tolist())))[:3] == [8, 24, 40] and abs(audio.TABLES["alaw"]).max() == 32256
     t = np.arange(4000)
     wave = (8000 * np.sin(t / 9)).astype(np.int16)
-    back = audio.decode_adpcm(np.frombuffer(audio.encode_adpcm(wave), np.uint8))[: len(wave)]
+    back = audio.decode_adpcm(np.frombuffer(audio.encode_adpcm(wave), np.uint8))[: len(wave), 0]
     assert np.abs(back[200:].astype(int) - wave[200:]).mean() < 400
-    # One sample at a time, as the standard says it.
-    raw = np.random.default_rng(1).integers(0, 256, 64 * 5, dtype=np.uint8)
-    want = []
-    for b in raw.reshape(-1, 64):
-        now, step = int(b[:2].copy().view("<i2")[0]), min(int(b[2]), 88)
-        want.append(now)
-        for k in range(120):
-            code = int(b[4 + k // 2]) >> 4 if k % 2 else int(b[4 + k // 2]) & 15
-            size = int(audio.STEPS[step])
-            diff = (size >> 3) + (size if code & 4 else 0) + (size >> 1 if code & 2 else 0) + (size >> 2 if code & 1 else 0)
-            now = max(-32768, min(32767, now + (-diff if code & 8 else diff)))
-            step = max(0, min(88, step + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
-            want.append(now)
-    assert audio.decode_adpcm(raw).tolist() == want
+    # One sample at a time, as the standard says it; in one file with blocks of other sizes and channels.
+    rng = np.random.default_rng(1)
+    media, wants = [], []
+    for block, channels in ((64, 1), (256, 1), (1024, 1), (512, 2), (64, 1)):
+        raw = rng.integers(0, 256, block * 5, dtype=np.uint8)
+        media.append(audio.wav("ima_adpcm", raw.tobytes() + b"rest", 8000, block, channels))
+        want = []
+        for b in raw.reshape(-1, block):
+            lanes = []
+            for c in range(channels):
+                now, step = int(b[4 * c : 4 * c + 2].copy().view("<i2")[0]), min(int(b[4 * c + 2]), 88)
+                lane = [now]
+                own = [b[w + 4 * c + i] for w in range(4 * channels, block, 4 * channels) for i in range(4)]
+                for code in (int(v) >> s & 15 for v in own for s in (0, 4)):
+                    size = int(audio.STEPS[step])
+                    diff = (size >> 3) + (size if code & 4 else 0) + (size >> 1 if code & 2 else 0) + (size >> 2 if code & 1 else 0)
+                    now = max(-32768, min(32767, now + (-diff if code & 8 else diff)))
+                    step = max(0, min(88, step + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+                    lane.append(now)
+                lanes.append(lane)
+            want += [sum(x) // channels for x in zip(*lanes)]
+        wants.append(want)
+    assert [pcm.tolist() for _, _, pcm in audio.decode_many(media)] == wants
+
+
+def test_resampling_keeps_the_tone():
+    t = np.arange(8000)
+    for rate, to in ((8000, 16000), (11025, 16000), (44100, 16000), (16000, 16000)):
+        tone = lambda r, f=700: 9000 * np.sin(2 * np.pi * f * np.arange(r) / r)
+        got = audio.resample(tone(rate).astype(np.int16), rate, to)
+        assert len(got) == to and np.abs(got[200:-200] - tone(to)[200:-200]).max() < 120
+    assert np.abs(audio.resample(tone(44100, 15000).astype(np.int16), 44100, 16000)[200:-200]).max() < 500  # beyond the new rate
+    assert len(audio.resample(t[:0].astype(np.int16))) == 0
+
+
+def test_odd_media(spark):
+    good = audio.text_media("hello " * 40)
+    odd = [b"", b"RIFF", good[:30], good[:44], good[: len(good) - 70], b"RIFF\0\0\0\0WAVEdata\x08\0\0\0abcdefgh", good.replace(b"fmt ", b"FMT "), audio.wav("pcm", b"\1\2\3", 8000), audio.wav("pcm", b"", 8000)]
+    tag = bytearray(audio.wav("mulaw", b"abcd"))
+    tag[20] = 99
+    df = spark.createDataFrame([(i, bytearray(m), "x") for i, m in enumerate([*odd, bytes(tag)])] + [(50, None, "x")], "k int, media binary, pcm string")
+    out = {r.k: r.pcm for r in audio.decode_media(df.repartition(12)).collect()}
+    assert len(out) == len(odd) + 2
+    assert [out[i] is None for i in (0, 1, 2, 5, 6, 9, 50)] == [True] * 7
+    assert len(audio.read_wav(bytes(out[7]))[1]) == 4 and len(audio.read_wav(bytes(out[8]))[1]) == 0 and out[4] is not None
 
 
 def test_audio_round_trip(spark):
@@ -327,10 +358,14 @@ def test_audio_round_trip(spark):
         data = raw + bytes(-len(raw) % 64 if raw else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
         media = audio.text_media(text[r.doc_id])
-        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and bytes(audio.read_wav(media)[2]) == data
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and bytes(audio.read_wav(media)[1]) == data
     df = spark.createDataFrame([(1, bytearray(audio.text_media("hello"))), (2, None)], "k int, media binary")
     out = {r.k: r.pcm for r in audio.decode_media(df).collect()}
-    assert audio.read_wav(bytes(out[1]))[:2] == ("pcm", 16000) and out[2] is None
+    assert audio.read_wav(bytes(out[1]))[0][:2] == ("pcm", 16000) and out[2] is None
+    stored = {r.doc_id: r for r in audio.store_texts(docs(spark, rows)).collect()}
+    for r in got:
+        if r.doc_id != 908:
+            assert (r.pcm_bytes, r.pcm_sha256, r.media_sha256) == (len(stored[r.doc_id].pcm), hashlib.sha256(stored[r.doc_id].pcm).hexdigest(), hashlib.sha256(stored[r.doc_id].media).hexdigest())
 
 
 # ---- quality
