@@ -373,7 +373,7 @@ def test_audio_round_trip(spark):
 def test_quality_counts(spark):
     rng = random.Random(9)
     rows = ODD + [(i, "\n".join(words(rng, rng.randrange(0, 12), 5) + rng.choice(["", " #*$ <|>", " %&"]) for _ in range(rng.randrange(1, 30)))) for i in range(200)]
-    for r in quality.document_statistics(docs(spark, rows)).collect():
+    for r in quality.judge(docs(spark, rows), None).collect():
         text = next(t or "" for i, t in rows if i == r.doc_id)
         w = WORD.findall(text)
         grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
@@ -400,6 +400,16 @@ def test_trees_learn_and_hold_their_signs():
         up[:, f] = np.minimum(1, up[:, f] + 0.3)
         assert (model.score(up) <= model.score(x[:200]) + 1e-12).all()
     assert quality.fit_trees(x, np.ones(3000, int)) is None
+    # Scored by the flat arrays as by walking each tree; and both labels of one document on one side.
+    for row, got in zip(x[:50], score[:50]):
+        total = model.bias
+        for at in model.roots:
+            while model.feature[at] >= 0:
+                at = model.left[at] + (row[model.feature[at]] > model.bound[at])
+            total += model.value[at]
+        assert abs(total - got) < 1e-9
+    twice = quality.fit_trees(np.repeat(x[:400], 2, axis=0), np.tile([0, 1], 400), np.repeat(np.arange(400), 2))
+    assert abs(twice.score(x)).max() < 0.5  # the labels contradict each other: nothing to learn
 
 
 def test_good_documents(spark):

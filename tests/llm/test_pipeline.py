@@ -59,7 +59,8 @@ def test_llm_queries_like_sql(spark):
     from weftgraph.llm.queries import ORACLES, QUERIES
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     for name, sql in ORACLES.items():
         want = con.execute(sql)
         columns = sorted(c[0] for c in want.description)

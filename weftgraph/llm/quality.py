@@ -1,11 +1,12 @@
 """Quality rules: base rules, and gradient-boosted trees over document statistics.
 
-The statistics of all documents are computed where they are read. Trees are fitted on at most
+The statistics of all documents are computed once, where they are read, and judged in the same pass.
+Trees are fitted on at most
 ``FIT_ROWS`` labelled documents (those with the smallest hash of their id), by histograms of
 feature bins, with the sign of chosen features' effect held: more symbols, repeated lines or
 repeated words never raise a verdict. The trees are flattened into node arrays and scored for
 whole batches at once. The threshold leaves ``KEEP`` of the good documents of a held-out quarter
-of the fitted rows in.
+of the fitted documents in.
 
 Defined cases: a null text has no words; a document without an id or a label takes no part in the
 fit; of repeated labels each counts; with labels of one kind, or none, the base rules alone
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, smallest_hashes, table
+from .common import WORD, smallest_hashes, table
 
 FIT_ROWS = 16_000
 KEEP = 0.995
@@ -89,19 +90,6 @@ def _one(text: str, words: list[str], codes: np.ndarray) -> tuple[tuple[int, ...
     return (n, word_chars, symbols, dup_lines, repeats), feats
 
 
-STATS_SCHEMA = "doc_id long, " + ", ".join(f"{x} long" for x in BASE) + ", base_failed boolean, features array<double>"
-
-
-def document_statistics(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            base, feats = statistics([t or "" for t in b["text"]])
-            n, repeats = base[:, 0], base[:, 4]
-            yield pd.DataFrame({"doc_id": b["doc_id"]} | {x: base[:, i] for i, x in enumerate(BASE)} | {"base_failed": (n < 50) | (100 * repeats > 50 * n), "features": list(feats)})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, STATS_SCHEMA)
-
-
 class Trees:
     """Boosted trees as flat node arrays: of each node its feature (-1: leaf), bound, left child and value."""
 
@@ -182,57 +170,95 @@ class Trees:
         return out
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees | None:
-    """Trees of labelled rows (1: good); null where the labels don't hold both kinds."""
+def fit_trees(x: np.ndarray, y: np.ndarray, ids: np.ndarray | None = None) -> Trees | None:
+    """Trees of labelled rows (1: good); null where the labels don't hold both kinds.
+
+    Rows of one of ``ids`` are all fitted on or all held out.
+    """
     if len(np.unique(y)) < 2:
         return None
     signs = [MONOTONE.get(f, 0) for f in FEATURES]
-    held = np.arange(len(y)) % 4 == 3
+    number = np.arange(len(y)) if ids is None else np.unique(ids, return_inverse=True)[1]
+    held = number % 4 == 3
+    if len(np.unique(y[~held])) < 2:
+        held[:] = False
     model = Trees().fit(x[~held], y[~held], signs)
     good = model.score(x[held & (y == 1)]) if (held & (y == 1)).any() else model.score(x[y == 1])
     model.threshold = float(min(np.quantile(good, 1 - KEEP), 0.0))
     return model
 
 
-def learn(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Trees | None:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Trees | None:
+    """Trees of ``docs`` (doc_id, text) that have a label; only the sample's texts are joined and counted."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
-    few = smallest_hashes(stats.join(marks, "doc_id").select("doc_id", "quality", "features"), "doc_id", rows).toPandas().sort_values(["doc_id", "quality"])
-    return fit_trees(np.array(few["features"].tolist()).reshape(-1, len(FEATURES)), few["quality"].to_numpy())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    few = smallest_hashes(texts.join(marks, "doc_id"), "doc_id", rows)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "features": list(statistics([t or "" for t in b["text"]])[1])})
+
+    got = few.repartition(32, "doc_id").mapInPandas(run, "doc_id long, quality int, features array<double>").toPandas()
+    x = np.array(got["features"].tolist()).reshape(-1, len(FEATURES))
+    # The same rows in the same order, however they were dealt.
+    order = np.lexsort((*x.T, got["quality"], got["doc_id"]))
+    return fit_trees(x[order], got["quality"].to_numpy()[order], got["doc_id"].to_numpy()[order])
+
+
+JUDGED = "doc_id long, " + ", ".join(f"{x} long" for x in BASE) + ", base_failed boolean, kept boolean, score double"
+
+
+def verdicts(texts: list[str | None], model: Trees | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Base counts, whether the base rules fail, whether a text is kept, and the trees' score (NaN where there are none)."""
+    base, feats = statistics([t or "" for t in texts])
+    failed = (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
+    score = np.full(len(base), np.nan) if model is None else model.score(feats)
+    return base, failed, ~failed & (np.isnan(score) | (score >= (0 if model is None else model.threshold))), score
 
 
-def judge(stats: DataFrame, model: Trees | None) -> DataFrame:
-    """``stats`` with ``kept`` and the trees' ``score`` (null where there are none)."""
+def judge(docs: DataFrame, model: Trees | None) -> DataFrame:
+    """The base counts of every row of ``docs`` (doc_id, text), whether it is ``kept``, and its ``score``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if model is None:
-                score, ok = np.full(len(b), np.nan), np.ones(len(b), bool)
-            else:
-                score = model.score(np.array(b["features"].tolist()).reshape(-1, len(FEATURES)))
-                ok = score >= model.threshold
-            b["kept"], b["score"] = ~b["base_failed"].astype(bool) & ok, score
-            yield b.drop(columns="features")
+            base, failed, kept, score = verdicts(list(b["text"]), model)
+            yield pd.DataFrame({"doc_id": b["doc_id"]} | {x: base[:, i] for i, x in enumerate(BASE)} | {"base_failed": failed, "kept": kept, "score": score})
 
-    return stats.mapInPandas(run, STATS_SCHEMA.replace("features array<double>", "kept boolean, score double"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, JUDGED)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept: the base rules and the trees agree."""
-    stats = cut(document_statistics(docs))
-    model = learn(stats, labels)
+    model = learn(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            base, feats = statistics([t or "" for t in b.column("text").to_pylist()])
-            ok = (base[:, 0] >= 50) & (100 * base[:, 4] <= 50 * base[:, 0])
-            if model is not None:
-                ok &= model.score(feats) >= model.threshold
-            yield b.filter(pa.array(ok))
+            yield b.filter(pa.array(verdicts(b.column("text").cast(pa.string()).to_pylist(), model)[2], pa.bool_()))
 
     # The trees are small and go with the task: rows are judged in passing, none is shuffled.
     return docs.mapInArrow(run, docs.schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = cut(document_statistics(table(spark, sf_dir, "documents")))
-    return judge(stats, learn(stats, table(spark, sf_dir, "labels")))
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op8_quality`` that SQL can say, from the same operator."""
+    return judge(table(spark, sf_dir, "documents"), None).select("doc_id", *BASE, "base_failed")
+
+
+COUNTS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) > 2),
+k AS (SELECT doc_id, i, [ws[i], ws[i + 1], ws[i + 2]] AS g FROM g),
+n AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM k),
+h AS (SELECT doc_id, count(DISTINCT j) AS hit FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM n WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM
+      (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+  coalesce(hit, 0)::BIGINT AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(hit, 0) > 50 * len(ws) AS base_failed
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN l USING (doc_id)"""

@@ -19,9 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.op8_quality,
     "op9_html": html.op9_html,
     "op10_secrets": secrets.op10_secrets,
+    # Of operators that SQL can say in part, that part.
+    "chat_digests": chat.chat_digests,
+    "media_payloads": audio.media_payloads,
+    "quality_counts": quality.quality_counts,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op10_secrets": secrets.ORACLE,
+    "chat_digests": chat.DIGESTS_SQL,
+    "media_payloads": audio.PAYLOADS_SQL,
+    "quality_counts": quality.COUNTS_SQL,
 }
