@@ -463,7 +463,7 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     rows = secret_texts()
     first, both = docs(spark, rows[:100]), docs(spark, rows)
     ledger = secrets.BlobLedger(spark, str(tmp_path / "ledger"))
-    ledger.update(first).collect()
+    ledger.record(first)
     n = spark.read.parquet(str(tmp_path / "ledger/scanned")).count()
     assert secrets.scan_unseen(first, spark.read.parquet(str(tmp_path / "ledger/scanned"))).isEmpty()
     got = {(r.doc_id, str(r.found)) for r in ledger.update(both).collect()}
