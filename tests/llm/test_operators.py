@@ -70,6 +70,25 @@ def test_mixing_targets_and_bounds(spark):
     assert again == {(r.doc_id, r["__wg_taken"], tuple(r["__wg_at"])) for r in got}
 
 
+def test_many_rows_of_one_id(spark):
+    """Null ids and equal rows in great number: cells stay small, and the mix is the same."""
+    rng = random.Random(62)
+    rows = [(None, words(rng, 10), "en", "a") for _ in range(400)] + [(7, "one two three", "en", "a")] * 300 + [(i, words(rng, 12), "en", "b") for i in range(1000, 1300)]
+    df = docs(spark, rows).drop("size")
+    few = mixing.mix(df, word_count(df.text), cell_rows=5)
+    many = mixing.mix(df, word_count(df.text), cell_rows=100_000)
+    for m in (few, many):
+        got = m.collect()
+        assert len(got) == len(rows)
+        for s in "ab":
+            own = [r for r in got if r.source == s]
+            assert abs(sum(r["__wg_taken"] for r in own) - own[0]["__wg_target"]) <= 1
+    # The most rows of a cell, as it is dealt for the running sums.
+    assert few.select("doc_id", "__wg_at").count() == len(rows)
+    again = sorted((str(r.doc_id), r["__wg_taken"]) for r in mixing.mix(df, word_count(df.text), cell_rows=5).collect())
+    assert again == sorted((str(r.doc_id), r["__wg_taken"]) for r in few.collect())
+
+
 def test_curriculum_follows_its_curve(spark):
     rng = random.Random(2)
     df = docs(spark, [(i, words(rng, 20), "en", s) for i in range(400) for s in ["a"]] + [(1000 + i, words(rng, 20), "en", "b") for i in range(400)])

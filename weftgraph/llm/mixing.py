@@ -9,7 +9,9 @@ reaches the middle of it, found by inverting the integrated curve. A range sort
 gives the training order.
 
 Prefix sums are distributed: documents fall into cells (source, slice of the hash order) of
-bounded mean size, cells are summed first, and only the running sums of cells meet by source.
+bounded mean size; a cell that many rows of one id have made large is split by a number of the row.
+Cells are summed first, then blocks of ``BLOCK_CELLS`` cells; the running sums of blocks meet by
+source, those of cells by block. One row per source meets in one task, to rank the sources.
 
 Defined cases: a null or blank text has size 0 and is never taken; a null ``source`` is a source
 of its own, last in order; a null ``doc_id`` hashes as the empty string; equal rows are documents
@@ -31,6 +33,8 @@ Curve = Sequence[tuple[float, float]]
 CURVES: tuple[Curve, ...] = (((0.0, 6.5), (1.0, 3.5)), ((0.0, 1.0), (0.5, 2.0), (1.0, 3.0)), ((0.0, 1.0), (1.0, 1.0)))
 #: Mean number of documents in a cell of a source's order.
 CELL_ROWS = 4000
+#: Cells of a block; times the mean from which on a cell is split.
+BLOCK_CELLS, HEAVY = 4096, 8
 
 
 def integral(curve: Curve) -> float:
@@ -90,22 +94,39 @@ def mix(docs: DataFrame, size: Column, share: float = 1.5, cap: float = 2.0, cur
         .withColumn("__wg_sk", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
         .withColumn("__wg_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     )
-    slim = base.select(F.col("source").cast("string").alias("source"), "__wg_sk", "__wg_size", F.conv(F.substring("__wg_h", 1, 7), 16, 10).cast("long").alias("x"))
     n = max(1, -(-docs.count() // cell_rows))
-    cell = lambda x: F.floor(x * F.lit(n) / F.lit(1 << 28)).cast("int")
-    cells = cut(slim.groupBy("__wg_sk", cell(F.col("x")).alias("__wg_cell")).agg(F.first("source").alias("source"), F.sum("__wg_size").alias("n")))
+    cell = F.floor(F.conv(F.substring("__wg_h", 1, 7), 16, 10).cast("long") * F.lit(n) / F.lit(1 << 28)).cast("int")
+    # Only what can't be told apart by its hash is told apart by a number of the row: equal rows may
+    # change places, which changes no result.
+    placed = base.withColumn("__wg_cell", cell)
+    first = placed.groupBy("__wg_sk", "__wg_cell").agg(F.count("*").alias("rows"))
+    heavy = cut(first.where(F.col("rows") > HEAVY * cell_rows).select("__wg_sk", "__wg_cell", F.ceil(F.col("rows") / cell_rows).alias("__wg_parts")))
+    # At most rows / (HEAVY * cell_rows) of them; without any, nothing is joined.
+    if heavy.isEmpty():
+        placed = placed.withColumn("__wg_part", F.lit(0).cast("long")).withColumn("__wg_first", F.lit(0).cast("long"))
+    else:
+        # A row's number has to be the same whenever it is read, so it is written.
+        number = F.pmod(F.xxhash64(F.monotonically_increasing_id(), "__wg_size"), F.lit(1 << 20))
+        placed = cut(placed.withColumn("__wg_y", number)).join(heavy, ["__wg_sk", "__wg_cell"], "left")
+        placed = placed.withColumn("__wg_part", F.coalesce(F.floor(F.col("__wg_y") * F.col("__wg_parts") / F.lit(1 << 20)), F.lit(0)))
+        placed = placed.withColumn("__wg_first", F.when(F.col("__wg_parts").isNull(), F.lit(0)).otherwise(F.col("__wg_y"))).drop("__wg_parts")
+    where = ["__wg_sk", "__wg_cell", "__wg_part"]
+    cells = cut(placed.groupBy(*where).agg(F.first("source").cast("string").alias("source"), F.sum("__wg_size").alias("n")))
     per = targets(cells.groupBy("__wg_sk").agg(F.first("source").alias("source"), F.sum("n").cast("long").alias("source_size")).drop("__wg_sk"), [integral(c) for c in curves], share, cap)
     per = per.withColumn("sk", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
-    upto = Window.partitionBy("__wg_sk").orderBy("__wg_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Running sums: of blocks by source, of cells by block.
+    before = lambda by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("block", F.floor(F.col("__wg_cell") / BLOCK_CELLS))
+    blocks = cells.groupBy("__wg_sk", "block").agg(F.sum("n").alias("n")).withColumn("upto", F.coalesce(F.sum("n").over(before(["__wg_sk"], ["block"])), F.lit(0))).drop("n")
     offsets = (
-        cells.withColumn("__wg_from", F.sum("n").over(upto) - F.col("n"))
+        cells.join(blocks, ["__wg_sk", "block"])
+        .withColumn("__wg_from", F.col("upto") + F.coalesce(F.sum("n").over(before(["__wg_sk", "block"], ["__wg_cell", "__wg_part"])), F.lit(0)))
         .join(per, F.col("__wg_sk") == F.col("sk"))
-        .select("__wg_sk", "__wg_cell", "__wg_from", F.col("source_size").alias("__wg_source_size"), F.col("target").alias("__wg_target"), F.col("curve").alias("__wg_curve"))
+        .select(*where, "__wg_from", F.col("source_size").alias("__wg_source_size"), F.col("target").alias("__wg_target"), F.col("curve").alias("__wg_curve"))
     )
-    inside = Window.partitionBy("__wg_sk", "__wg_cell").orderBy("__wg_h", "doc_id", "__wg_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*where).orderBy("__wg_first", "__wg_h", "doc_id", "__wg_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
-        base.withColumn("__wg_cell", cell(F.conv(F.substring("__wg_h", 1, 7), 16, 10).cast("long")))
-        .join(offsets, ["__wg_sk", "__wg_cell"])
+        placed.join(offsets, where)
         .withColumn("__wg_from", F.col("__wg_from") + F.sum("__wg_size").over(inside) - F.col("__wg_size"))
         .withColumn("__wg_goal", F.floor(F.col("__wg_target") + 0.5).cast("long"))
     )

@@ -102,7 +102,7 @@ def scan_unseen(docs: DataFrame, scanned: DataFrame | None = None, rules: tuple[
     if scanned is None:
         return _scan(blobs, rules, False)
     every = F.array(*[F.lit(r.version) for r in rules])
-    seen = scanned.where(F.col("version").isin([r.version for r in rules])).groupBy("blob").agg(F.collect_set("version").alias("seen"))
+    seen = scanned.where(F.col("version").isin([r.version for r in rules])).groupBy("blob").agg(F.collect_set("version").alias("seen")).hint("merge")
     due = F.when(F.col("seen").isNull(), every).otherwise(F.array_except(every, "seen"))
     return _scan(blobs.join(seen, "blob", "left").withColumn("versions", due).where(F.size("versions") > 0), rules, True)
 
