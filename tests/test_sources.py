@@ -206,13 +206,13 @@ STATS = {"nodes_selected": 3, "nodes_total": 7, "tokens_used": 58, "tokens_budge
 def test_renderers(spark, graph):
     scores = spark.createDataFrame([("user", 0.5), ("login", 0.9), ("pool", 0.5)], "id string, score double")
     text = render.subgraph(graph, STATS, "markdown", scores, "auth")
-    assert text.index("### login (function) · score: 0.90") < text.index("### Pool") < text.index("### UserModel") and "- login → calls → user" in text and "4 additional" in text
+    assert text.index("### login (function), score 0.90") < text.index("### Pool") < text.index("### UserModel") and "- login calls user" in text and "4 nodes are not shown" in text
     data = json.loads(render.subgraph(graph, STATS, "json", scores))
     assert [n["id"] for n in data["nodes"]] == ["login", "pool", "user"] and data["nodes"][0]["file_path"] == "auth/login.py" and data["stats"] == STATS
     assert "  - id: login\n    label: login\n" in render.subgraph(graph, STATS, "yaml", scores)
     assert [render.yaml_scalar(x) for x in (None, True, 3, "a: b", "true", "plain", "1.5", "")] == ["null", "true", "3", '"a: b"', '"true"', "plain", '"1.5"', '""']
     for target in render.TARGETS:
-        assert "## Relevant Nodes" in render.context(graph, STATS, "auth", target)
+        assert render.NODES_HEAD in render.context(graph, STATS, "auth", target)
     with pytest.raises(ValueError):
         render.subgraph(graph, STATS, "xml")
     with pytest.raises(ValueError):

@@ -37,6 +37,17 @@ def dependents(g: PropertyGraph) -> DataFrame:
     return calls.join(src, "src").groupBy(F.col("dst").alias("id")).agg(F.count_if(~F.col("test")).alias("production"), F.count_if("test").alias("tests"))
 
 
+def type_counts(g: PropertyGraph) -> DataFrame:
+    """(type, nodes)."""
+    return g.nodes.groupBy("type").agg(F.count("*").alias("nodes"))
+
+
+def most_depended_on(g: PropertyGraph, n: int = 10) -> DataFrame:
+    """(id, in_degree) of the ends with most incoming edges, equals by id."""
+    counts = g.edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree"))
+    return counts.orderBy(F.desc("in_degree"), "id").limit(n)
+
+
 def parse_ignore(lines: list[str]) -> dict[str, list[str]]:
     """Rules ``type:``, ``file:`` and ``id:``; blank lines, comments and other prefixes are skipped."""
     rules: dict[str, list[str]] = {"type": [], "file": [], "id": []}

@@ -22,6 +22,12 @@ class PropertyGraph:
         ids = keep.select("id").distinct()
         return PropertyGraph(self.nodes.join(ids, "id", "left_semi"), inside(self.edges, ids))
 
+    def written(self) -> PropertyGraph:
+        """The same graph, written to the shared folder: what is asked of it again is not derived again."""
+        from weftgraph.plans.materialize import cut
+
+        return PropertyGraph(cut(self.nodes), cut(self.edges))
+
     def where(self, condition: Column) -> PropertyGraph:
         nodes = self.nodes.where(condition)
         return PropertyGraph(nodes, inside(self.edges, nodes.select("id")))

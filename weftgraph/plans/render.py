@@ -9,14 +9,26 @@ from pyspark.sql import functions as F
 
 from weftgraph.plans.graph import PropertyGraph
 
+NODES_HEAD = "## Nodes"
 FORMATS = ("markdown", "json", "yaml")
 TARGETS = ("claude", "chatgpt", "claudemd")
 #: Words that YAML would read as something else than text.
 _YAML_WORDS = {"true", "false", "null", "yes", "no", "on", "off", "~", ""}
 
 
+#: Most nodes and edges of a selection that is written as text.
+MOST_NODES, MOST_EDGES = 20_000, 100_000
+
+
+class TooLarge(ValueError):
+    """A selection that is no report any more."""
+
+
 def collected(g: PropertyGraph, scores: DataFrame | None = None) -> dict:
-    """Nodes by falling score, then id, and edges of a selection, as plain values."""
+    """Nodes by falling score, then id, and edges of a selection, as plain values; an error if they are too many."""
+    for part, most in ((g.nodes, MOST_NODES), (g.edges, MOST_EDGES)):
+        if len(part.limit(most + 1).select(F.lit(1)).collect()) > most:
+            raise TooLarge(f"more than {most} rows: choose a smaller budget, or write the graph to files")
     nodes = g.nodes if scores is None else g.nodes.join(scores.select("id", "score"), "id", "left")
     order = [F.col("id")] if scores is None else [F.desc_nulls_last("score"), F.col("id")]
     rows = [r.asDict() for r in nodes.orderBy(*order).collect()]
@@ -67,18 +79,24 @@ def _yaml(data: dict) -> str:
 
 def _markdown(data: dict, query: str, language) -> str:
     s = data["stats"]
-    title = (f'Subgraph for: "{query}" ' if query else "Subgraph ") + f"(budget: {s['tokens_budget']:,} tokens)"
-    lines = [box(title, f"Selected {s['nodes_selected']}/{s['nodes_total']} nodes · {s['tokens_used']:,}/{s['tokens_budget']:,} tokens used ({s['coverage_pct']}%)"), "", "## Relevant Nodes", ""]
+    asked = f'Chosen for "{query}"' if query else "Chosen nodes"
+    counts = f"{s['nodes_selected']} of {s['nodes_total']} nodes ({s['coverage_pct']}%), {s['tokens_used']:,} of {s['tokens_budget']:,} tokens"
+    lines = [box(asked, counts), "", NODES_HEAD, ""]
     for n in data["nodes"]:
-        lines.append(f"### {n.get('label', n['id'])}" + (f" ({n['type']})" if n.get("type") else "") + (f" · score: {n['score']:.2f}" if "score" in n else ""))
-        lines += [x for x in (n.get("description"), f"→ File: {n['file_path']}" if n.get("file_path") else None) if x]
+        kind = f" ({n['type']})" if n.get("type") else ""
+        score = f", score {n['score']:.2f}" if "score" in n else ""
+        lines.append(f"### {n.get('label', n['id'])}{kind}{score}")
+        if n.get("description"):
+            lines.append(n["description"])
+        if n.get("file_path"):
+            lines.append(f"In {n['file_path']}")
         if n.get("code_block"):
             lines += [f"```{language(n.get('file_path', '')) or ''}", n["code_block"], "```"]
         lines.append("")
     if data["edges"]:
-        lines += ["## Key Relationships", *(f"- {e['source']} → {e.get('relation', '→')} → {e['target']}" for e in data["edges"]), ""]
-    if more := max(0, s["nodes_total"] - s["nodes_selected"]):
-        lines += ["---", f"💡 {more} additional connected nodes available — increase the budget to include them"]
+        lines += ["## Links", *(f"- {e['source']} {e.get('relation', '→')} {e['target']}" for e in data["edges"]), ""]
+    if (more := s["nodes_total"] - s["nodes_selected"]) > 0:
+        lines += ["---", f"{more} nodes are not shown; a larger budget takes more of them in."]
     return "\n".join(lines)
 
 
@@ -104,14 +122,17 @@ def context(g: PropertyGraph, stats: dict, query: str, target: str = "claude", s
     nodes, tokens = f"{stats['nodes_selected']}/{stats['nodes_total']}", f"{stats['tokens_used']}/{stats['tokens_budget']}"
     if target == "claude":
         return f'<context query={json.dumps(query)} nodes="{nodes}" tokens="{tokens}" coverage="{stats["coverage_pct"]}%">\n\n{body}\n\n</context>'
-    bare = body[body.index("## Relevant Nodes") :]
-    meta = f"query: {json.dumps(query)} | nodes: {nodes} | tokens: {tokens} | coverage: {stats['coverage_pct']}%"
-    return f"[CODEBASE CONTEXT]\n{meta}\n\n{bare}\n\n[END CODEBASE CONTEXT]" if target == "chatgpt" else f"## Codebase Context\n\n<!-- {meta} -->\n\n{bare}"
+    bare = body[body.index(NODES_HEAD) :]
+    about = f"query {json.dumps(query)}, nodes {nodes}, tokens {tokens}, coverage {stats['coverage_pct']}%"
+    if target == "chatgpt":
+        return f"[CONTEXT]\n{about}\n\n{bare}\n\n[END OF CONTEXT]"
+    return f"## Context of the code base\n\n<!-- {about} -->\n\n{bare}"
 
 
-def table(df: DataFrame, limit: int = 50) -> str:
-    """A bounded report as a markdown table."""
-    rows = df.limit(limit).collect()
-    cells = [list(df.columns), *[["" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r] for r in rows]]
+def table(df: DataFrame, limit: int = 50, order: list | None = None) -> str:
+    """A report as a markdown table: the first ``limit`` rows by ``order`` (else by all columns), and how many more there are."""
+    rows = df.orderBy(*(order or df.columns)).limit(limit + 1).collect()
+    cells = [list(df.columns), *[["" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r] for r in rows[:limit]]]
     head, *rest = ["| " + " | ".join(c) + " |" for c in cells]
-    return "\n".join([head, "|" + "---|" * len(df.columns), *rest])
+    more = [f"\n{df.count() - limit} more rows are not shown."] if len(rows) > limit else []
+    return "\n".join([head, "|" + "---|" * len(df.columns), *rest, *more])

@@ -8,15 +8,18 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import analytics, rank, relational, traverse
+from weftgraph.operators import analytics, rank
 from weftgraph.operators import select as selection
-from weftgraph.plans import render
+from weftgraph.plans import render, reports
 from weftgraph.plans.graph import PropertyGraph
+from weftgraph.plans.materialize import cut
 
 #: Error codes of the protocol.
 INVALID_REQUEST, NO_METHOD, BAD_PARAMS, INTERNAL, UNPARSABLE = -32600, -32601, -32602, -32603, -32700
 PROTOCOL = "2024-11-05"
-MIN_SCORE = 0.15
+MIN_SCORE, DECAY = 0.15, 0.7
+#: Queries whose scores are kept.
+SCORED = 8
 
 
 class BadParams(ValueError):
@@ -44,35 +47,47 @@ class Service:
 
     def __init__(self, load: Callable[[], PropertyGraph], version: Callable[[], object] = lambda: None):
         self.load, self.version = load, version
-        self.graph, self.at, self.scores = load(), version(), {}
+        self.graph, self.at = load(), version()
+        self.scores: dict[str, DataFrame] = {}
+        self.ranks: DataFrame | None = None
+        #: Told of each query that is served; a log, for one.
+        self.on_query: Callable[[str, int, dict], object] = lambda query, budget, stats: None
         self.tools = {"query": self.query, "explain": self.explain, "diff": self.diff, "suggest": self.suggest, "impact": self.impact}
 
     def refresh(self) -> None:
         if (now := self.version()) != self.at:
             try:
-                self.graph, self.scores = self.load(), {}
+                self.graph = self.load()
             except Exception:  # the old graph goes on serving, whatever broke the new one
                 return
-            self.at = now
+            for old in self.scores.values():
+                old.unpersist()
+            self.at, self.scores, self.ranks = now, {}, None
 
     def scored(self, query: str) -> DataFrame:
+        """Scores of a query; those of the latest ``SCORED`` queries are kept, of the ranks one copy."""
+        if self.ranks is None:
+            self.ranks = cut(rank.pagerank(self.graph))
         if query not in self.scores:
-            self.scores[query] = rank.score(self.graph, query).persist()
+            while len(self.scores) >= SCORED:
+                self.scores.pop(next(iter(self.scores))).unpersist()
+            self.scores[query] = rank.combine(self.graph, self.ranks, rank.tfidf(self.graph.nodes, query)).persist()
         return self.scores[query]
 
-    def selected(self, query: str, budget: int) -> tuple[PropertyGraph, dict, DataFrame]:
+    def selected(self, query: str, budget: int, min_score: float = MIN_SCORE, decay: float = DECAY) -> tuple[PropertyGraph, dict, DataFrame]:
         spark = self.graph.nodes.sparkSession
         scores = self.scored(query)
         budgets = spark.createDataFrame([(query, budget)], "query string, budget int")
-        chosen = selection.select(self.graph, scores.withColumn("query", F.lit(query)), budgets, min_score=MIN_SCORE)
+        chosen = cut(selection.select(self.graph, scores.withColumn("query", F.lit(query)), budgets, decay, min_score))
         rows = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("cost"), F.lit(0)).alias("t")).first()
         total = self.graph.nodes.count()
         stats = {"nodes_selected": rows["n"], "nodes_total": total, "tokens_used": int(rows["t"]), "tokens_budget": budget, "coverage_pct": round(100 * rows["n"] / total, 1) if total else 0.0}
-        return self.graph.induced(chosen.select("id")), stats, scores
+        return self.graph.induced(chosen.select("id")).written(), stats, scores
 
     def query(self, args: dict) -> str:
         query, budget = _text(args, "query"), _whole(args, "budget", 4000)
         sub, stats, scores = self.selected(query, budget)
+        self.on_query(query, budget, stats)
         return render.subgraph(sub, stats, args.get("format", "markdown"), scores, query)
 
     def explain(self, args: dict) -> str:
@@ -82,9 +97,7 @@ class Service:
         return json.dumps(found, indent=2, default=str)
 
     def impact(self, args: dict) -> str:
-        owned = traverse.nodes_in_file(self.graph, _text(args, "file"))
-        found = traverse.impact(self.graph, owned, _whole(args, "hops", 2))
-        return render.table(traverse.impact_summary(self.graph, found)) + "\n\n" + render.table(traverse.impact_files(self.graph, found, args["file"]))
+        return reports.impact(self.graph, _text(args, "file"), _whole(args, "hops", 2))
 
     def suggest(self, args: dict) -> str:
         query = _text(args, "query")
@@ -96,7 +109,7 @@ class Service:
 
         spark = self.graph.nodes.sparkSession
         old, new = load(spark, _text(args, "old")), load(spark, _text(args, "new"))
-        return render.table(relational.diff_nodes(old, new)) + "\n\n" + render.table(relational.diff_impact(old, new))
+        return reports.diff(old, new)
 
     def answer(self, line: str) -> dict | None:
         """The response to one request line; null for a notification."""

@@ -82,7 +82,13 @@ def each_file(files: DataFrame, rows_of, schema: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in schema.split(", ")]
         for b in batches:
+            rows: list[tuple] = []
             for path, content in zip(b["path"], b["content"]):
-                yield pd.DataFrame(rows_of(path, content or ""), columns=names)
+                rows += rows_of(path, content or "")
+                if len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, schema)

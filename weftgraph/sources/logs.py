@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.functions.text import savings_percent
+
 AUDIT = "timestamp string, query string, budget int, tokens_used int, nodes_selected int, nodes_total int, graph_path string, top_nodes array<string>"
 SESSION = "ts string, query string, budget int, nodes int, tokens int, savings_pct double"
 
@@ -18,15 +20,41 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(AUDIT).option("mode", "FAILFAST").json(path)
 
 
+def append_session(spark: SparkSession, path: str, query: str, budget: int, stats: dict, at: str | None = None) -> bool:
+    """Appends one entry with its savings, if the folder is there: its presence is the user's consent."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return False
+    now = F.lit(at) if at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    used, total = F.lit(int(stats.get("tokens_used", 0))), F.lit(int(stats.get("nodes_total", 0)))
+    row = spark.range(1).select(
+        now.alias("ts"), F.lit(query).alias("query"), F.lit(budget).alias("budget"), F.lit(int(stats.get("nodes_selected", 0))).alias("nodes"),
+        used.alias("tokens"), savings_percent(used, total).alias("savings_pct"),
+    )
+    append(row.coalesce(1), path)
+    return True
+
+
+#: Where a line stands in a log: files by age and name, blocks of a file, rows of a block.
+PLACE = ("_age", "_file", "_block", "_row")
+
+
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value and ``PLACE``) of the lines of a log."""
+    meta = F.col("_metadata")
+    place = [meta.file_modification_time.alias("_age"), meta.file_path.alias("_file"), meta.file_block_start.alias("_block")]
+    return spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("_row"))
+
+
 def read_session(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
-    """Entries of a session log without malformed lines; with ``last``, the latest ones in order."""
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
-    rows = parsed_session(lines)
-    if last is not None:
-        rows = rows.orderBy(F.col("ts").desc(), F.col("ord").desc()).limit(last)
-    return rows.orderBy("ts", "ord").drop("ord")
+    """Entries of a session log in the order of the log, without malformed lines; with ``last``, the latest ones."""
+    rows = parsed_session(log_lines(spark, path))
+    if last is not None and last > 0:
+        rows = rows.orderBy(*[F.col(c).desc() for c in PLACE]).limit(last)
+    return rows.orderBy(*PLACE).drop(*PLACE)
 
 
 def parsed_session(lines: DataFrame) -> DataFrame:
-    """``lines`` (value and others) as entries; what is no JSON object of a session entry goes."""
-    return lines.withColumn("e", F.from_json("value", SESSION)).where("e is not null and e.ts is not null").select("e.*", *[c for c in lines.columns if c != "value"])
+    """``lines`` (value and others) as entries; what is no JSON object goes, what an entry lacks is null."""
+    entries = lines.where(F.json_object_keys("value").isNotNull()).withColumn("e", F.from_json("value", SESSION))
+    return entries.select("e.*", *[c for c in lines.columns if c != "value"])
