@@ -9,7 +9,7 @@ whole batches at once. The threshold leaves ``KEEP`` of the good documents of a
 of the fitted documents in.
 
 Defined cases: a null text has no words; a document without an id or a label takes no part in the
-fit; of repeated labels each counts; with labels of one kind, or none, the base rules alone
+fit; of different labels of one document each counts; with labels of one kind, or none, the base rules alone
 decide; equal rows get equal values; an empty table gives an empty result; other columns are
 ignored (``good_documents`` returns them as they are).
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, smallest_hashes, table
+from .common import WORD, cut, smallest_hashes, table
 
 FIT_ROWS = 16_000
 KEEP = 0.995
@@ -189,20 +189,23 @@ def fit_trees(x: np.ndarray, y: np.ndarray, ids: np.ndarray | None = None) -> Tr
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Trees | None:
-    """Trees of ``docs`` (doc_id, text) that have a label; only the sample's texts are joined and counted."""
+    """Trees of ``docs`` (doc_id, text) that have a label.
+
+    The sample is chosen by ids alone; its at most ``rows`` ids go to where the texts are, and only
+    features come back. Of rows with one id and different texts, one is fitted on.
+    """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    few = smallest_hashes(texts.join(marks, "doc_id"), "doc_id", rows)
+    few = cut(smallest_hashes(texts.select("doc_id").join(marks, "doc_id").distinct(), "doc_id", rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "features": list(statistics([t or "" for t in b["text"]])[1])})
 
-    got = few.repartition(32, "doc_id").mapInPandas(run, "doc_id long, quality int, features array<double>").toPandas()
+    found = texts.join(F.broadcast(few), "doc_id").mapInPandas(run, "doc_id long, quality int, features array<double>")
+    got = found.groupBy("doc_id", "quality").agg(F.min("features").alias("features")).toPandas().sort_values(["doc_id", "quality"])
     x = np.array(got["features"].tolist()).reshape(-1, len(FEATURES))
-    # The same rows in the same order, however they were dealt.
-    order = np.lexsort((*x.T, got["quality"], got["doc_id"]))
-    return fit_trees(x[order], got["quality"].to_numpy()[order], got["doc_id"].to_numpy()[order])
+    return fit_trees(x, got["quality"].to_numpy(), got["doc_id"].to_numpy())
 
 
 JUDGED = "doc_id long, " + ", ".join(f"{x} long" for x in BASE) + ", base_failed boolean, kept boolean, score double"
