@@ -118,7 +118,7 @@ def findings_by_path(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ..
     of_blob = of_blob.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
     paths = docs.select("doc_id", blob_id(text_or_empty()).alias("blob"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     none = F.expr("cast(array() as array<struct<start:bigint,ord:int,kind:string,end:bigint>>)")
-    return paths.join(of_blob, ["blob", "salt"], "left").select("doc_id", F.coalesce("found", none).alias("found"))
+    return paths.join(of_blob.hint("merge"), ["blob", "salt"], "left").select("doc_id", F.coalesce("found", none).alias("found"))
 
 
 class BlobLedger:
@@ -146,7 +146,7 @@ class BlobLedger:
         every = F.array(*[F.lit(r.version) for r in self.rules])
         pairs = docs.select(blob_id(text_or_empty()).alias("blob")).distinct().select("blob", F.explode(every).alias("version"))
         # Read in full before anything is appended to the same folder.
-        cut(pairs.join(scanned, ["blob", "version"], "left_anti")).write.mode("append").parquet(f"{self.root}/scanned")
+        cut(pairs.join(scanned.hint("merge"), ["blob", "version"], "left_anti")).write.mode("append").parquet(f"{self.root}/scanned")
 
     def findings(self) -> DataFrame:
         return self._read("findings", self.FINDINGS).dropDuplicates()
