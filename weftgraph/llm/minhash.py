@@ -368,3 +368,32 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+
+
+#: All pairs that share a shingle, and what links reach; for the small tables of the check.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), sets AS (
+    SELECT doc_id, list_distinct(CASE
+        WHEN len(words) = 0 THEN []
+        WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+        ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])
+    END) AS shingles
+    FROM words
+), sizes AS (SELECT doc_id, len(shingles) AS n FROM sets),
+each AS (SELECT doc_id, unnest(shingles) AS shingle FROM sets),
+shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+    FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * s.n >= 85 * (x.n + y.n - s.n)
+), either AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+    SELECT doc_id, doc_id AS other FROM sizes
+    UNION SELECT r.doc_id, e.b FROM reached r JOIN either e ON r.other = e.a
+)
+SELECT r.doc_id, CAST(any_value(n) AS BIGINT) AS n_shingles, min(other) AS component_id, r.doc_id = min(other) AS kept
+FROM reached r JOIN sizes USING (doc_id) GROUP BY r.doc_id
+"""

@@ -27,6 +27,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
+    "op4_near_duplicates": minhash.ORACLE,
+    "op6_repeats": suffix.ORACLE,
     "op10_secrets": secrets.ORACLE,
     "chat_digests": chat.DIGESTS_SQL,
     "media_payloads": audio.PAYLOADS_SQL,

@@ -407,3 +407,32 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: Every start of every text, in hexadecimal; for the small tables of the check.
+ORACLE = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents),
+pieces AS (
+    SELECT doc_id, base, substr(digits, 2 * base + 1, 1198) AS piece
+    FROM (SELECT doc_id, digits, unnest(range(0, strlen(digits) // 2 - 99, 500)) AS base FROM texts)
+), starts AS (
+    SELECT doc_id, base + pos AS pos, substr(piece, 2 * pos + 1, 200) AS string
+    FROM (SELECT doc_id, base, piece, unnest(range(0, least(500, strlen(piece) // 2 - 99))) AS pos FROM pieces)
+), repeats AS (
+    SELECT doc_id, pos FROM starts QUALIFY row_number() OVER (PARTITION BY string ORDER BY doc_id, pos) > 1
+), marked AS (
+    SELECT doc_id, pos, coalesce(pos > lag(pos) OVER w + 100, true) AS opens FROM repeats WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), numbered AS (SELECT doc_id, pos, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(pos) AS low, max(pos) + 100 AS high FROM numbered GROUP BY ALL),
+gaps AS (
+    SELECT doc_id, low, high, lag(high, 1, 0) OVER (PARTITION BY doc_id ORDER BY low) AS after FROM runs
+), kept AS (
+    SELECT doc_id, count(*) AS n_spans, sum(high - low) AS n_removed, max(high) AS last,
+        string_agg(substr(digits, 2 * after + 1, 2 * (low - after)), '' ORDER BY low) AS part
+    FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(strlen(digits) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+    CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(coalesce(part || substr(digits, 2 * last + 1), digits))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
