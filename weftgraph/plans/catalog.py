@@ -680,6 +680,72 @@ def i3(spark, d):
     return index.index_files(lib.unionByName(cmd)).edges.where("relation = 'calls'").select("src", "dst")
 
 
+def _calls_of(spark, d, shapes: dict[str, str]) -> DataFrame:
+    """Calls of the files that each document's id makes of ``shapes`` (path, content; ``@`` is the id)."""
+    files = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in shapes.items()])
+    name = F.col("doc_id").cast("string")
+    made = _t(spark, d, "documents").select(name.alias("name"), F.inline(files))
+    filled = made.select(*[F.replace(c, F.lit("@"), F.col("name")).alias(c) for c in ("path", "content")])
+    return index.index_files(filled).edges.where("relation = 'calls'").select("src", "dst")
+
+
+def _calls_sql(pairs: list[tuple[str, str]]) -> str:
+    rows = ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+    return f"SELECT replace(a, '@', doc_id::VARCHAR) AS src, replace(b, '@', doc_id::VARCHAR) AS dst FROM documents, (VALUES {rows}) t(a, b)"
+
+
+JAVA = {
+    "j@/text/Joiner.java": "package s@.text;\npublic class Joiner {\n  public static String glue(String a) { return a; }\n  public String tie(String a) { return a; }\n}\n",
+    "j@/text/Near.java": "package s@.text;\npublic class Near {\n  public static String at() { return Joiner.glue(null); }\n}\n",
+    "j@/more/Joiner.java": "package s@.more;\npublic class Joiner {\n  public static String glue(String a) { return a; }\n}\n",
+    "j@/Main.java": "package s@.app;\nimport s@.text.Joiner;\nimport static s@.text.Near.at;\npublic class Main {\n  Object a() { return new Joiner(); }\n"
+    "  String b() { return at(); }\n  String c(Joiner it) { return it.tie(null); }\n}\n",
+    "j@/Wild.java": "package s@.app;\nimport s@.text.*;\nimport s@.more.*;\npublic class Wild {\n  String a() { return Near.at(); }\n  String b() { return Joiner.glue(null); }\n}\n",
+}
+
+
+@query("X3_java_calls", _calls_sql([
+    ("j@.text.Near.Near.at", "j@.text.Joiner.Joiner.glue"), ("j@.Main.Main.a", "j@.text.Joiner.Joiner"), ("j@.Main.Main.b", "j@.text.Near.Near.at"),
+    ("j@.Main.Main.c", "j@.text.Joiner.Joiner.tie"), ("j@.Wild.Wild.a", "j@.text.Near.Near.at"),
+]))
+def x3(spark, d):
+    return _calls_of(spark, d, JAVA)
+
+
+RUST = {
+    "r@/src/lib.rs": "pub mod util;\nuse crate::util::run;\npub fn start() { run(); util::deep::dig(); }\n",
+    "r@/src/util/mod.rs": "pub mod deep;\npub fn run() {}\n",
+    "r@/src/util/deep.rs": "use super::*;\npub fn dig() { run(); super::super::start(); }\n",
+    "r@/src/shape.rs": "pub struct Square { n: i32 }\nimpl Square {\n    pub fn new() -> Square { Square { n: 1 } }\n    pub fn area(&self) -> i32 { 1 }\n}\n",
+    "tool@/src/main.rs": "use r@::shape::{self, Square};\nfn main() { let b = Square::new(); b.area(); shape::missing(); }\n",
+}
+
+
+@query("X4_rust_calls", _calls_sql([
+    ("r@.src.lib.start", "r@.src.util.mod.run"), ("r@.src.lib.start", "r@.src.util.deep.dig"), ("r@.src.util.deep.dig", "r@.src.util.mod.run"),
+    ("r@.src.util.deep.dig", "r@.src.lib.start"), ("tool@.src.main.main", "r@.src.shape.Square.new"), ("tool@.src.main.main", "r@.src.shape.Square.area"),
+]))
+def x4(spark, d):
+    return _calls_of(spark, d, RUST)
+
+
+TYPESCRIPT = {
+    "t@/lib/math.ts": "export function add() { }\nexport class Sum {\n  total(): number { return 1; }\n}\n",
+    "t@/lib/index.ts": "export function all() { }\n",
+    "t@/one.ts": "export default function only() { }\n",
+    "t@/app/page.ts": "import { add as plus, Sum } from '../lib/math';\nimport { all } from '../lib';\nimport one from '../one.js';\nimport * as m from '../lib/math';\n"
+    "import { add } from 'elsewhere/math';\nexport function a() { plus(); all(); one(); add(); }\nexport function b() { m.add(); const s = new Sum(); s.total(); }\n",
+}
+
+
+@query("X6_typescript_calls", _calls_sql([
+    ("t@.app.page.a", "t@.lib.math.add"), ("t@.app.page.a", "t@.lib.index.all"), ("t@.app.page.a", "t@.one.only"),
+    ("t@.app.page.b", "t@.lib.math.add"), ("t@.app.page.b", "t@.lib.math.Sum"), ("t@.app.page.b", "t@.lib.math.Sum.total"),
+]))
+def x6(spark, d):
+    return _calls_of(spark, d, TYPESCRIPT)
+
+
 @query("T2_session_stream", "SELECT event_type AS query, count(*) AS entries FROM events GROUP BY event_type")
 def t2(spark, d):
     source, out, ck = (_scratch(spark, x) for x in ("sessions", "tailed", "progress"))

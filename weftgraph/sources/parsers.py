@@ -12,8 +12,9 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
-from weftgraph.sources import python_parser
+from weftgraph.sources import crossing, python_parser
 from weftgraph.sources.code import language
+from weftgraph.sources.crossing import CALLABLE
 
 
 @dataclass(frozen=True)
@@ -97,9 +98,9 @@ TABLES: dict[str, Language] = {
     "elixir": Language((D("module", r"^\s*defmodule\s+(?P<name>[\w.]+)"), D("struct", r"^\s*defstruct\b(?P<name>)", scope=False), D("macro", r"^\s*defmacrop?\s+(?P<name>[\w?!]+)"), D("function", r"^\s*defp?\s+(?P<name>[\w?!]+)")), (r"^\s*(?P<relation>use|import|alias|require)\s+(?P<path>[\w.]+)",), spans="indent", line_comment="#", block_comment=None),
     "powershell": Language((D("class", r"(?i)^\s*class\s+(?P<name>\w+)"), D("function", r"(?i)^\s*function\s+(?P<name>[\w-]+)"), D("method", r"^\s*(?:\[[\w.\[\]]+\]\s*)(?:static\s+|hidden\s+)?(?P<name>\w+)\s*\([^)]*\)\s*(?=\{)", ("class",))), (r"(?i)^\s*(?:Import-Module|using\s+module|#requires\s+-modules?)\s+(?P<path>[\w.\\/-]+)",), relation="requires", line_comment="#", block_comment=("<#", "#>")),
 }
-#: Types that a name in a call can mean.
-CALLABLE = {"function", "method", "class", "constructor", "struct", "def"}
-_CALL = re.compile(r"(?<![\w$.:>])(?:(?P<on>[A-Za-z_$][\w$]*)\s*(?:\.|::|->)\s*)?(?P<name>[A-Za-z_$][\w$]*)\s*(?:::<[^>]*>)?\(")
+_CALL = re.compile(
+    r"(?<![\w$.:>])(?:(?P<on>[A-Za-z_$][\w$]*(?:::[A-Za-z_]\w*)*)\s*(?:\.|::|->)\s*)?(?P<name>[A-Za-z_$][\w$]*)\s*(?:::<[^>]*>)?\("
+)
 
 
 @dataclass
@@ -143,6 +144,11 @@ def _body_end(text: str, at: int, lang: Language) -> int:
     return len(text)
 
 
+def import_stem(path: str) -> str:
+    """The dotted module of a TypeScript import, without what leads to it."""
+    return re.sub(r"^(?:\.\.?\.|@\.)+", "", re.sub(r"\.(?:[jt]sx?|mjs|cjs)$", "", path).replace("/", ".")).lstrip(".@")
+
+
 def import_pairs(name: str, m: re.Match) -> list[tuple[str, str]]:
     """(local name, dotted symbol) pairs that an import binds."""
     path, names = m["path"].strip(), (m.groupdict().get("names") or "").strip()
@@ -153,7 +159,7 @@ def import_pairs(name: str, m: re.Match) -> list[tuple[str, str]]:
         return [(names or package.rpartition("/")[2], package.replace("/", "."))]
     dotted = re.sub(r"[\\/]+", ".", path).replace("::", ".")
     if name == "typescript":
-        dotted = re.sub(r"^(?:\.\.?\.|@\.)+", "", re.sub(r"\.(?:[jt]sx?|mjs|cjs)$", "", path).replace("/", ".")).lstrip(".@")
+        dotted = import_stem(path)
         if not path.startswith((".", "@/")):
             return [(x.strip().split(" as ")[-1].strip(" {}*"), "") for x in names.split(",") if x.strip()] or [(dotted.rpartition(".")[2], "")]
         out = []
@@ -173,11 +179,17 @@ def import_pairs(name: str, m: re.Match) -> list[tuple[str, str]]:
 
 def use_pairs(path: str) -> list[tuple[str, str]]:
     """(local, dotted path) of a Rust ``use`` with nested braces."""
+    plain = [(local, [p for p in parts if p not in ("crate", "self", "super")]) for local, parts in use_paths(path)]
+    return [(local, ".".join(parts)) for local, parts in plain if parts and parts[-1] != "*"]
+
+
+def use_paths(path: str) -> list[tuple[str, list[str]]]:
+    """(local, parts of the path) of all that a Rust ``use`` brings; a glob's last part is ``*``."""
     path = re.sub(r"\s+", " ", path.strip())
     if "{" not in path:
         whole, _, alias = path.partition(" as ")
-        parts = [p for p in whole.strip().split("::") if p and p not in ("crate", "self", "super")]
-        return [(alias.strip() or parts[-1], ".".join(parts))] if parts and parts[-1] != "*" else []
+        parts = [p.strip() for p in whole.split("::") if p.strip()]
+        return [(alias.strip() or parts[-1], parts)] if parts else []
     head, _, rest = path.partition("{")
     inner, level, items, start = rest.rpartition("}")[0], 0, [], 0
     for i, c in enumerate(inner + ","):
@@ -185,7 +197,8 @@ def use_pairs(path: str) -> list[tuple[str, str]]:
         if c == "," and level == 0:
             items.append(inner[start:i].strip())
             start = i + 1
-    return [pair for x in items if x for pair in use_pairs(head.rstrip(": ").strip() if x == "self" else head + x)]
+    stem = head.rstrip(": ").strip()
+    return [pair for x in items if x for pair in use_paths(re.sub(r"^self\b", stem, x) if re.match(r"self(?: as |$)", x) else head + x)]
 
 
 def scan(name: str, path: str, content: str, module: str) -> tuple[list[tuple], list[tuple]]:
@@ -247,56 +260,94 @@ def scan(name: str, path: str, content: str, module: str) -> tuple[list[tuple],
             nodes.append((id_, name_, type_, line(at)))
             edges.append((parent, id_, "contains", None))
     bound: dict[str, tuple[str, str]] = {}
+    java, rust = crossing.JavaNames(package[1] if package else ""), crossing.RustNames(path)
     for pattern in lang.imports:
         for m in re.finditer(pattern, content, re.M):
             if text[m.start() : m.end()].strip() == "" or (lang.line_comment in content[content.rfind("\n", 0, m.start()) + 1 : m.start() + 1]):
                 continue
             relation = m.groupdict().get("relation") or lang.relation
+            if name == "java":
+                java.add(m["path"], bool(m["static"]))
+            for local, parts in use_paths(m["path"]) if name == "rust" else ():
+                rust.add(local, parts)
+            near = crossing.relative_module(path, m["path"]) if name == "typescript" else None
+            stem = import_stem(m["path"]) if near else ""
             for local, symbol in import_pairs(name, m):
                 tail = re.sub(r"\W+", "_", m["path"].strip("./")).strip("_").rpartition("_")[2] if name == "typescript" else re.sub(r"\W+", "_", local if name in ("go", "rust") else m["path"])
                 id_ = f"{module}.import_{tail}"
-                bound[local] = (id_, symbol)
+                bound[local] = (id_, near + symbol[len(stem) :] if near and symbol else symbol)
                 if id_ not in known:
                     known[id_] = "import"
                     nodes.append((id_, symbol or m["path"], "import", line(m.start())))
                     edges.append((module, id_, relation, None))
     if lang.calls:
-        edges += _calls(lang, name, text, module, spans, known, bound, receivers)
+        edges += _calls(lang, name, text, module, spans, known, bound, receivers, java, rust)
     return nodes, edges
 
 
-def _calls(lang: Language, name: str, text: str, module: str, spans: list[Span], known: dict[str, str], bound: dict[str, tuple[str, str]], receivers: dict[str, str]) -> list[tuple]:
+def _calls(lang: Language, name: str, text: str, module: str, spans: list[Span], known: dict[str, str], bound: dict[str, tuple[str, str]], receivers: dict[str, str], java: crossing.JavaNames, rust: crossing.RustNames) -> list[tuple]:
     bodies = [s for s in spans if s.type in ("function", "method", "constructor")]
+    fields = crossing.variable_types(name, text)
+    types: dict[str, dict[str, str]] = {}
     out: dict[tuple, None] = {}
     for m in _CALL.finditer(text):
         around = [s for s in bodies if s.start < m.start() < s.end]
-        if not around or re.search(r"\b(?:func|function|fn|class|new\s+class|def)\s*$", text[: m.start()][-20:]):
+        if not around or re.search(r"\b(?:func|function|fn|class|new\s+class|def)\s*$", text[max(0, m.start() - 20) : m.start()]):
             continue
         caller = min(around, key=lambda s: s.end - s.start)
         if m.start("name") < caller.start + 200 and re.search(rf"\b{re.escape(m['name'])}\s*\($", text[caller.start : m.end()]) and text.find("{", caller.start) > m.start():
             continue  # its own head
         owner = caller.id.rpartition(".")[0]
         on, called, symbol = m["on"], m["name"], None
+        if on and on not in lang.own and on not in bound and receivers.get(caller.id) != on:
+            if caller.id not in types:
+                types[caller.id] = fields | crossing.variable_types(name, text[caller.start : caller.end])
+            on = types[caller.id].get(on, on)
+        within = on.replace("::", ".") if on else None
         if on is None:
-            options = [f"{owner}.{called}"] if name == "java" else []
+            options = [f"{owner}.{called}"] if name in ("java", "rust") else []
             to = next((c for c in [*options, f"{module}.{called}"] if known.get(c) in CALLABLE), None)
             if to is None and called in bound:
                 to, symbol = bound[called]
         elif on in lang.own or receivers.get(caller.id) == on:
             to = f"{owner}.{called}" if known.get(f"{owner}.{called}") in CALLABLE else None
-        elif known.get(f"{module}.{on}.{called}") in CALLABLE:
-            to = f"{module}.{on}.{called}"
+        elif known.get(f"{module}.{within}.{called}") in CALLABLE:
+            to = f"{module}.{within}.{called}"
         elif on in bound:
-            to, symbol = bound[on][0], f"{bound[on][1]}.{called}"
+            to, symbol = bound[on][0], f"{bound[on][1]}.{called}" if bound[on][1] else ""
         else:
             to = None
+        if name in ("java", "rust") and (to is None or symbol is not None) and on not in lang.own:
+            new = re.search(r"\bnew\s+$", text[max(0, m.start() - 12) : m.start()]) is not None
+            if name == "rust":
+                choices = rust.choices([*(on.split("::") if on else []), called], _inner_modules(caller.id, module, known))
+            else:
+                choices = java.of_class(on, called) if on else java.bare(called, new)
+            symbol = crossing.written(choices)
+            to = module if symbol else None
         if to and to != caller.id and symbol != "":
             out[(caller.id, to, "calls", symbol)] = None
     return list(out)
 
 
+def _inner_modules(id_: str, module: str, known: dict[str, str]) -> list[str]:
+    """The inline modules of a file that ``id_`` stands in, from the outermost."""
+    out, at = [], module
+    for part in id_[len(module) + 1 :].split("."):
+        at = f"{at}.{part}"
+        if known.get(at) != "module":
+            break
+        out.append(part)
+    return out
+
+
 def parse(path: str, content: str, module: str) -> tuple[list[tuple], list[tuple]]:
     name = language(path)
     if name is None:
         return [], []
     return python_parser.parse(path, content, module) if name == "python" else scan(name, path, content, module)
+
+
+def exported(path: str, module: str, nodes: list[tuple]) -> list[tuple[str, str]]:
+    """(id, name) of a file's symbols, as other files of its language name them."""
+    return crossing.exports(language(path) or "", path, module, nodes)
