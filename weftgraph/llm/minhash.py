@@ -218,6 +218,37 @@ class Chunk:
             yield from self.links(every[i + 1 :], self.ids[i], self.label[i], int(self.size[i]), self.sig[i], self.sets and self.sets[i])
 
 
+def _small_groups(b: pd.DataFrame, percent: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Links of the groups of two and three that begin and end in ``b``, all at once, and the rows of the others."""
+    group, chunk, ids, size = (b[c].to_numpy() for c in ("group", "chunk", "id", "size"))
+    start = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (chunk[1:] != chunk[:-1])])
+    length = np.diff(np.r_[start, len(b)])
+    # The first and the last group may go on in other batches.
+    inner = np.zeros(len(start), bool)
+    inner[1:-1] = True
+    two, three = start[inner & (length == 2)], start[inner & (length == 3)]
+    sig, limits = _signatures(b["signature"]), least_matches(percent)
+
+    def close(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+        matches = np.zeros(len(at), int)
+        for end, least in limits:
+            matches += (sig[i[at], end - BATCH : end] == sig[j[at], end - BATCH : end]).sum(axis=1)
+            go = matches >= least
+            at, matches = at[go], matches[go]
+        out = np.zeros(len(i), bool)
+        out[at] = True
+        return out
+
+    ab, bc, ac = close(three, three + 1), close(three + 1, three + 2), close(three, three + 2)
+    ac &= ~(ab & bc)
+    pair = close(two, two + 1)
+    i = np.concatenate([two[pair], three[ab], three[bc] + 1, three[ac]])
+    j = np.concatenate([two[pair] + 1, three[ab] + 1, three[bc] + 2, three[ac] + 2])
+    left = np.repeat(~(inner & (length >= 2) & (length <= 3)), length)
+    return pd.DataFrame({"a": ids[i], "b": ids[j]}), b[left]
+
+
 def _solve(members: DataFrame, n: int, percent: int, visits: str | None = None) -> DataFrame:
     """Links (a, b) in the chunks of ``members`` (group, chunk, id, label, visitor, and size and signature, or text).
 
@@ -262,6 +293,9 @@ def _solve(members: DataFrame, n: int, percent: int, visits: str | None = None)
                         out.extend(chunk.links(every, id_, labels[i], int(sizes[i]), sigs[i], sets and sets[i]))
 
         for b in batches:
+            if not exact and not visits and len(b):
+                found, b = _small_groups(b, percent)
+                yield found
             key = b["group"].to_numpy(), b["chunk"].to_numpy(), b["visitor"].to_numpy(bool)
             new = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])) + 1
             for x, y in zip([0, *new], [*new, len(b)]):
