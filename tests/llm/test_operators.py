@@ -10,9 +10,10 @@ from html import escape
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from weftgraph.llm import audio, chat, html, langid, minhash, mixing, packing, quality, secrets, tokens
-from weftgraph.llm.common import word_count
+from weftgraph.llm import audio, chat, graph, html, langid, minhash, mixing, packing, quality, secrets, tokens
+from weftgraph.llm.common import cut, word_count
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, label string, size long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -288,6 +289,27 @@ def test_one_of_each(spark):
     assert minhash.one_of_each(df.limit(0)).collect() == []
 
 
+def test_rounds_of_joins_leave_small_estimates(spark):
+    """A path takes many rounds; the number that Spark guesses its size to be must not gain digits in each."""
+    ids = spark.range(200).withColumnRenamed("id", "k")
+    path = cut(ids.where("k < 199").selectExpr("(k * 91) % 200 AS a", "((k + 1) * 91) % 200 AS b"))
+    assert path._jdf.queryExecution().analyzed().stats().sizeInBytes() < 1 << 20
+    found = graph.components(path)
+    assert sorted(map(tuple, found.collect())) == [(k, 0) for k in range(200)]
+    assert found._jdf.queryExecution().analyzed().stats().sizeInBytes() < 1 << 70
+
+
+def test_cut_keeps_rows_columns_and_later_joins(spark):
+    rows = [(k % 7, None if k % 5 == 0 else str(k)) for k in range(50)]
+    df = spark.createDataFrame(rows, "a long, b string")
+    wide = df.withColumnRenamed("b", "c")
+    for _ in range(5):
+        wide = wide.join(df.groupBy("a").agg(F.count("*").alias("n")), "a").drop("n")
+        wide = cut(wide.union(wide.join(wide.select(F.col("a").alias("x"), F.col("c").alias("y")), F.col("a") == F.col("x")).select("a", "c")).distinct())
+    assert sorted(wide.collect(), key=str) == sorted(df.withColumnRenamed("b", "c").distinct().collect(), key=str)
+    assert wide.columns == ["a", "c"] and wide.join(wide, "a").count() == sum(n * n for n in Counter(r.a for r in wide.collect()).values())
+
+
 # ---- language
 
 VOCAB = {"aa": "kalo mira tenu sola vire dako".split(), "bb": "strun grolk brask thrund flonk wrisp".split(), "cc": "xiao ming zhuo qian liu xue".split()}
