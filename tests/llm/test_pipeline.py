@@ -47,6 +47,24 @@ def test_stages(spark, tmp_path):
     assert {p.doc_id for p in packed} == {i for i, _ in want}
 
 
+def test_near_duplicates_leave_small_estimates(spark, monkeypatch):
+    """What the second stage writes on the way carries no size estimate that grows with its joins."""
+    from weftgraph.llm import graph, minhash
+
+    bits, cut = [], minhash.cut
+
+    def spy(df):
+        out = cut(df)
+        bits.append(out._jdf.queryExecution().analyzed().stats().sizeInBytes().bit_length())
+        return out
+
+    monkeypatch.setattr(graph, "cut", spy)
+    monkeypatch.setattr(minhash, "cut", spy)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    dict(pipeline.STAGES)["near_duplicates"](spark, docs, DATA)
+    assert len(bits) > 8 and max(bits) <= 64
+
+
 def test_empty_tables(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{DATA}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
