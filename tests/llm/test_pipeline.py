@@ -65,6 +65,43 @@ def test_near_duplicates_leave_small_estimates(spark, monkeypatch):
     assert len(bits) > 8 and max(bits) <= 64
 
 
+@pytest.mark.parametrize("stage", ["quality", "near_duplicates"])
+def test_workers_hold_parts_of_a_batch(spark, monkeypatch, stage):
+    """A worker makes Python's objects of a part of an Arrow batch at a time, however many texts there are in one."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from weftgraph.llm import minhash, quality
+
+    class Docs:
+        schema = None
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            self.run = run
+            return self
+
+    monkeypatch.setattr(quality, "learn", lambda *_: None)
+    texts = [" ".join(f"{i:03}{j:02}" * 200 for j in range(60)) for i in range(600)]
+    texts[5], texts[6], texts[7] = None, "", "é" * 600_000
+    batch = pa.RecordBatch.from_pydict({"doc_id": [None, *range(1, 600)], "text": texts})
+    docs = quality.good_documents(Docs(), None) if stage == "quality" else minhash.sketches(Docs(), 5)
+    whole = sum(len(t or "") for t in texts)
+    list(docs.run(iter([batch.slice(0, 2)])))  # what is imported or made once
+    tracemalloc.start()
+    sizes, got = [], []
+    for b in docs.run(iter([batch.slice(0, 0), batch])):
+        sizes.append(b.num_rows)
+        got += b.column(0).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    kept = [i for i, t in enumerate(texts) if stage != "quality" or len((t or "").split()) >= 50]
+    assert got == [i or None for i in kept] and len(sizes) > 10
+    assert whole > 36e6 and peak < whole / 2
+
+
 def test_empty_tables(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{DATA}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")

@@ -35,10 +35,11 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, release, table, text_parts
 from .graph import components
 
 BANDS, ROWS, BATCH = 32, 5, 16
@@ -47,7 +48,6 @@ HASHES = BANDS * ROWS
 MISS = 1e-7
 #: Members and shingles of a chunk, common members of a group's chunks, and visitors held at a time.
 CHUNK_MEMBERS, CHUNK_SHINGLES, HUBS, VISITORS = 3000, 1_500_000, 32, 500
-CHUNK_CHARS = 4_000_000
 
 _WORD = re.compile(WORD)
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -122,24 +122,16 @@ SKETCH = "doc_id long, n_shingles long, set_key binary, signature binary"
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in batches:
-            texts, rows, start = [t or "" for t in b["text"]], [], 0
-            while start < len(texts):
-                end, chars = start, 0
-                while end < len(texts) and (end == start or chars < CHUNK_CHARS):
-                    chars += len(texts[end])
-                    end += 1
-                for s in shingle_sets(texts[start:end], n):
-                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s).tobytes() if len(s) else b""))
-                start = end
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "signature"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, SKETCH)
+        for b, texts in text_parts(batches):
+            rows = [(len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s).tobytes() if len(s) else b"") for s in shingle_sets([t or "" for t in texts], n)]
+            size, key, sig = zip(*rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
+        release()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
 
 
 def bucket_cells(classes: DataFrame) -> DataFrame:
@@ -314,6 +306,8 @@ def _solve(members: DataFrame, n: int, percent: int, visits: str | None = None)
         if now is not None:
             settle(was_visitor)
             yield pd.DataFrame(out, columns=["a", "b"])
+        chunk = None
+        release()
 
     payload = ["text"] if exact else ["size", "signature"]
     dealt = members.select("group", "chunk", "visitor", "id", "label", *payload).repartition("group", "chunk").sortWithinPartitions("group", "chunk", "visitor", "id")
