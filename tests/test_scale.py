@@ -1,7 +1,10 @@
 """What only shows on larger tables: ids that repeat, files of one write, what a single task takes."""
 
+import os
+
 from weftgraph.functions import text as X
 from weftgraph.operators import analytics
+from weftgraph.sources import logs
 
 
 def test_similar_entries_with_one_id_stay_single(spark):
@@ -16,3 +19,19 @@ def test_savings_of_a_half_go_up(spark):
     rows = spark.createDataFrame([(2818, 80), (4000, 80), (5000, 80), (1, 0)], "used long, nodes long")
     got = [r.s for r in rows.select(X.savings_percent(rows.used, rows.nodes).alias("s")).collect()]
     assert got == [29.6, 0.0, 0.0, 0.0]
+
+
+def test_files_of_one_write_go_by_number(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for name in ("a", "b"):
+        spark.range(0, 6, 1, 3).selectExpr(f"to_json(struct(concat('{name}', id) AS query)) AS value").write.mode("append").text(path)
+    own = {f: open(f"{path}/{f}").read()[10] for f in os.listdir(path) if f.startswith("part-")}
+    # Tasks of a write end in any order, those of the first before those of the second.
+    for f, name in own.items():
+        at = 1_700_000_000 + (1000 if name == "b" else 0) - int(f[5:10])
+        os.utime(f"{path}/{f}", (at, at))
+    (tmp_path / "log" / "old.json").write_text('{"query": "c"}\n')
+    os.utime(tmp_path / "log" / "old.json", (1_600_000_000, 1_600_000_000))
+    want = ["c", *[f"a{i}" for i in range(6)], *[f"b{i}" for i in range(6)]]
+    assert [r.query for r in logs.read_session(spark, path).collect()] == want
+    assert [r.query for r in logs.read_session(spark, path, 4).collect()] == want[-4:]

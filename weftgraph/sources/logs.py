@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import savings_percent
@@ -35,15 +35,27 @@ def append_session(spark: SparkSession, path: str, query: str, budget: int, stat
     return True
 
 
-#: Where a line stands in a log: files by age and name, blocks of a file, rows of a block.
-PLACE = ("_age", "_file", "_block", "_row")
+#: Where a line stands in a log: writes by age, their parts by number, blocks of a file, rows of a block.
+PLACE = ("_age", "_write", "_part", "_file", "_block", "_row")
+#: Names that Spark gives the files of one write: number, then an id of the write.
+_PART = r"part-(\d+)-([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})[^/]*$"
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value and ``PLACE``) of the lines of a log."""
-    meta = F.col("_metadata")
-    place = [meta.file_modification_time.alias("_age"), meta.file_path.alias("_file"), meta.file_block_start.alias("_block")]
-    return spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("_row"))
+    """(value and ``PLACE``) of the lines of a log.
+
+    Tasks finish the files of one write in any order, so these go by number; a write is as old as
+    the last of its files. Any other file is a write by itself.
+    """
+    meta, file = F.col("_metadata"), F.col("_metadata.file_path")
+    own = lambda k: F.regexp_extract(file, _PART, k)
+    write = F.when(own(2) == "", file).otherwise(F.concat(F.regexp_extract(file, "^(.*/)", 1), own(2)))
+    # Of a binary file nothing is read but what is asked for: this lists files.
+    files = spark.read.format("binaryFile").load(path).select(file.alias("_file"), write.alias("_write"), F.coalesce(own(1).try_cast("long"), F.lit(0)).alias("_part"), meta.file_modification_time.alias("_at"))
+    places = files.withColumn("_age", F.max("_at").over(Window.partitionBy("_write"))).drop("_at")
+    lines = spark.read.text(path).select("value", file.alias("_file"), meta.file_block_start.alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    # One row a file; a join by file would put all lines of one into a task.
+    return lines.join(F.broadcast(places), "_file").select("value", *PLACE)
 
 
 def read_session(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
