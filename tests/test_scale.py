@@ -1,5 +1,6 @@
 """What only shows on larger tables: ids that repeat, files of one write, what a single task takes."""
 
+import math
 import os
 
 from weftgraph.functions import text as X
@@ -35,3 +36,23 @@ def test_files_of_one_write_go_by_number(spark, tmp_path):
     want = ["c", *[f"a{i}" for i in range(6)], *[f"b{i}" for i in range(6)]]
     assert [r.query for r in logs.read_session(spark, path).collect()] == want
     assert [r.query for r in logs.read_session(spark, path, 4).collect()] == want[-4:]
+
+
+def test_percentiles_are_exact_and_not_of_one_task(spark):
+    values = [None, *[float(x * x % 997) for x in range(500)], 5.0, 5.0]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    got = analytics.percentiles(rows, "v")
+    known = sorted(v for v in values if v is not None)
+
+    def at(q):
+        k = q * (len(known) - 1)
+        low, high = known[math.floor(k)], known[math.ceil(k)]
+        return round(low + (high - low) * (k - math.floor(k)), 6)
+
+    row = got.first()
+    assert (row.p50, row.p75, row.p90, row.p95) == tuple(map(at, (0.5, 0.75, 0.9, 0.95)))
+    assert (row.n, row.low, row.high, row.total) == (503, known[0], known[-1], sum(known))
+    none = analytics.percentiles(rows.where("v is null"), "v").first()
+    assert none.n == 1 and none.p50 is None and none.p95 is None
+    # An aggregate that holds a column's values in one buffer grows with them.
+    assert "percentile(" not in got._jdf.queryExecution().optimizedPlan().toString()
