@@ -5,6 +5,7 @@ import os
 
 from weftgraph.functions import text as X
 from weftgraph.operators import analytics
+from weftgraph.plans import graph
 from weftgraph.sources import logs
 
 
@@ -56,3 +57,18 @@ def test_percentiles_are_exact_and_not_of_one_task(spark):
     assert none.n == 1 and none.p50 is None and none.p95 is None
     # An aggregate that holds a column's values in one buffer grows with them.
     assert "percentile(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_are_dealt_to_more_tasks_as_they_grow(spark, tmp_path, monkeypatch):
+    sizes = []
+    for n in (2_000, 200_000):
+        spark.range(n).selectExpr("id AS l_orderkey", "xxhash64(id) AS l_partkey").coalesce(1).write.parquet(f"{tmp_path}/{n}")
+        sizes.append(sum(os.path.getsize(f"{tmp_path}/{n}/{f}") for f in os.listdir(f"{tmp_path}/{n}") if f.endswith(".parquet")))
+    monkeypatch.setattr(graph, "SHARE", 100_000)
+    dealt = [graph.dealt(spark.read.parquet(f"{tmp_path}/{n}"), "l_orderkey", "l_partkey") for n in (2_000, 200_000)]
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [d.rdd.getNumPartitions() for d in dealt] == [max(least, -(-s // 100_000)) for s in sizes]
+    assert sizes[1] > 1_000_000 and dealt[1].count() == 200_000
+    # Its key is enough for what is grouped by it and more: no second shuffle, no larger tasks.
+    plan = dealt[1].groupBy("l_orderkey", "l_partkey").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
