@@ -4,8 +4,9 @@ import math
 import os
 
 from weftgraph.functions import text as X
-from weftgraph.operators import analytics
+from weftgraph.operators import analytics, rank
 from weftgraph.plans import graph
+from weftgraph.plans.materialize import cut
 from weftgraph.sources import logs
 
 
@@ -72,3 +73,23 @@ def test_tables_are_dealt_to_more_tasks_as_they_grow(spark, tmp_path, monkeypatc
     # Its key is enough for what is grouped by it and more: no second shuffle, no larger tasks.
     plan = dealt[1].groupBy("l_orderkey", "l_partkey").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_rounds_of_ranks_shuffle_no_edges(spark, monkeypatch):
+    nodes = spark.range(40).selectExpr("concat('n', id) AS id")
+    edges = spark.range(120).selectExpr("concat('n', id % 40) AS src", "concat('n', id * 7 % 31) AS dst", "1.0D AS weight")
+    wrote = []
+    monkeypatch.setattr(rank, "cut", lambda df, **how: wrote.append((df, cut(df, **how))) or wrote[-1][1])
+    got = {r.id: r.rank for r in rank.pagerank(graph.PropertyGraph(nodes, edges), iterations=3, tolerance=None).collect()}
+    want = {f"n{i}": 1 / 40 for i in range(40)}
+    for _ in range(3):
+        new = dict.fromkeys(want, 0.15 / 40 + 0.85 * sum(want[i] for i in want if int(i[1:]) >= 40) / 40)
+        for i in range(120):
+            new[f"n{i * 7 % 31}"] += 0.85 * want[f"n{i % 40}"] / 3
+        want = new
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    # The shares of edges once, then a write a round.
+    assert len(wrote) == 4
+    steps = wrote[0][1].withColumnRenamed("src", "id")
+    plan = steps.join(wrote[1][1].hint("merge"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
