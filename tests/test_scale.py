@@ -7,7 +7,7 @@ from weftgraph.functions import text as X
 from weftgraph.operators import analytics, rank
 from weftgraph.plans import graph
 from weftgraph.plans.materialize import cut
-from weftgraph.sources import logs
+from weftgraph.sources import graphs, index, logs
 
 
 def test_similar_entries_with_one_id_stay_single(spark):
@@ -93,3 +93,31 @@ def test_rounds_of_ranks_shuffle_no_edges(spark, monkeypatch):
     steps = wrote[0][1].withColumnRenamed("src", "id")
     plan = steps.join(wrote[1][1].hint("merge"), "id")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_graph_files_stay_small_and_others_are_not_parsed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(graphs, "FILE_ROWS", 10)
+    nodes = spark.range(40).coalesce(1).selectExpr("concat('n', id) AS id", "concat('N', id) AS label")
+    edges = spark.range(39).coalesce(1).selectExpr("concat('n', id) AS src", "concat('n', id + 1) AS dst", "'next' AS relation", "1.0D AS weight")
+    g = graph.PropertyGraph(nodes, edges)
+    graphs.write_graphml(g, str(tmp_path / "g"))
+    graphs.write_csv(g, str(tmp_path / "c"))
+    parts = lambda p: [f for f in os.listdir(tmp_path / p) if f.startswith("part-")]
+    assert [len(parts(p)) for p in ("g/nodes", "g/edges", "c/nodes", "c/relationships")] == [4, 4, 4, 4]
+    (tmp_path / "g" / "key.xml").write_text('<graphml><key id="d" for="edge" attr.name="weight"/></graphml>')
+    held = graphs._holding(spark, str(tmp_path / "g"), ("key", "node", "edge"))
+    assert [len(held[t]) for t in ("key", "node", "edge")] == [1, 4, 4]
+    back = graphs.read_graphml(spark, str(tmp_path / "g"))
+    assert back.nodes.count() == 40 and sorted((r.src, r.dst, r.relation) for r in back.edges.collect()) == sorted((f"n{i}", f"n{i + 1}", "next") for i in range(39))
+    # All ends of CSV edges are nodes: nodes don't read relationships.
+    read = graphs.read_csv(spark, str(tmp_path / "c/nodes"), str(tmp_path / "c/relationships")).nodes
+    assert read.count() == 40 and not [f for f in read.inputFiles() if "relationships" in f]
+
+
+def test_parsed_rows_are_read_by_kind(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(index, "assemble", lambda parsed, ignore: seen.append(parsed))
+    index.index_files(spark.createDataFrame([("a/A.java", "package a;\nclass A {\n  int f() { return 1; }\n}\n")], "path string, content string"))
+    nodes = seen[0].where("kind = 'node'")
+    assert "PartitionFilters: [isnotnull(kind" in nodes._jdf.queryExecution().executedPlan().toString()
+    assert {r.b for r in nodes.collect()} >= {"A", "f"} and sorted(r.kind for r in seen[0].select("kind").distinct().collect()) == ["edge", "export", "node"]
