@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +48,10 @@ def dealt_by(df: DataFrame, key: str) -> DataFrame:
     """``df`` written, dealt out by ``key`` and sorted by it."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut(df.repartition(parts, key).sortWithinPartitions(key), dealt=True)
+
+
+def stored(df: DataFrame, by: str) -> DataFrame:
+    """``df`` written as columns, in a folder for each of the few values of ``by``, for those that read some of both."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

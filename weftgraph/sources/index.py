@@ -9,7 +9,7 @@ from weftgraph.functions import text as X
 from weftgraph.operators.relational import apply_ignore, incremental_merge, parse_ignore
 from weftgraph.operators.resolve import resolve_suffix, suffixes
 from weftgraph.plans.graph import PropertyGraph, first_wins, inside
-from weftgraph.plans.materialize import cut
+from weftgraph.plans.materialize import cut, stored
 from weftgraph.sources import code, parsers
 
 PARSED = "kind string, a string, b string, c string, n long, path string"
@@ -71,7 +71,7 @@ def assemble(parsed: DataFrame, ignore: list[str] | None = None) -> PropertyGrap
 
 def index_files(files: DataFrame, ignore: list[str] | None = None) -> PropertyGraph:
     """The graph of ``files`` (path, content)."""
-    return assemble(cut(code.each_file(files, _rows, PARSED)), ignore)
+    return assemble(stored(code.each_file(files, _rows, PARSED), "kind"), ignore)
 
 
 def index_project(spark: SparkSession, root: str, ignore: list[str] | None = None) -> PropertyGraph:
