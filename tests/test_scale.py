@@ -3,6 +3,8 @@
 import math
 import os
 
+import pytest
+
 from weftgraph.functions import text as X
 from weftgraph.operators import analytics, rank
 from weftgraph.plans import graph
@@ -121,3 +123,17 @@ def test_parsed_rows_are_read_by_kind(spark, monkeypatch):
     nodes = seen[0].where("kind = 'node'")
     assert "PartitionFilters: [isnotnull(kind" in nodes._jdf.queryExecution().executedPlan().toString()
     assert {r.b for r in nodes.collect()} >= {"A", "f"} and sorted(r.kind for r in seen[0].select("kind").distinct().collect()) == ["edge", "export", "node"]
+
+
+def test_media_of_a_batch_are_made_in_parts(monkeypatch):
+    pa = pytest.importorskip("pyarrow")
+    audio = pytest.importorskip("weftgraph.llm.audio")
+    at_once = []
+    whole = audio.decode_many
+    monkeypatch.setattr(audio, "decode_many", lambda media: at_once.append(sum(map(len, media))) or whole(media))
+    texts = [None, "", *["some text " * 10_000] * 60]
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *range(1, 62)], pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    made = list(audio.digested(iter([batch])))
+    assert [i for b in made for i in b.column(0).to_pylist()] == [None, *range(1, 62)]
+    assert [n for b in made for n in b.column(1).to_pylist()] == [len(t or "") for t in texts]
+    assert len(made) == len(at_once) > 2 and max(at_once) < 2 * audio.CHUNK_BYTES

@@ -26,10 +26,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, table, text_parts
 
 BLOCK = 64
 RATE = 8000
@@ -264,31 +265,26 @@ def text_media(text: str | None) -> bytes:
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
+ARROW = pa.schema([(name, {"long": pa.int64(), "string": pa.string()}[kind]) for name, kind in (c.split() for c in SCHEMA.split(", "))])
+
+
+def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``SCHEMA`` of batches (doc_id, text): beside a batch a worker holds the media of about ``CHUNK_BYTES``."""
+    for b, texts in text_parts(batches, CHUNK_BYTES):
+        rows = []
+        media = [text_media(t) for t in texts]
+        for i, (t, m, (form, data, pcm)) in enumerate(zip(texts, media, decode_many(media))):
+            speech = stored_pcm(pcm)
+            raw = len((t or "").encode("utf-8", "surrogatepass"))
+            row = (b.column(0)[i].as_py(), raw, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest())
+            rows.append((*row, features(form.coding, pcm), len(speech), hashlib.sha256(speech).hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), ARROW.types)], schema=ARROW)
+    release()
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """Stores each text as audio, reads the stored bytes back and describes them."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows, start, texts = [], 0, list(b["text"])
-            while start < len(texts):
-                media, size, end = [], 0, start
-                while end < len(texts) and (not media or size < CHUNK_BYTES):
-                    media.append(text_media(texts[end]))
-                    size += len(media[-1])
-                    end += 1
-                for t, m, (form, data, pcm) in zip(texts[start:end], media, decode_many(media)):
-                    speech = stored_pcm(pcm)
-                    raw = len((t or "").encode("utf-8", "surrogatepass"))
-                    row = (raw, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest())
-                    rows.append((*row, features(form.coding, pcm), len(speech), hashlib.sha256(speech).hexdigest()))
-                start = end
-            out = pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(digested, SCHEMA)
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
